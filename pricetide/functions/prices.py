@@ -41,8 +41,17 @@ def minor_units(price: Column, unit: Column) -> Column:
 
 
 def fx_convert(native: Column, rate: Column) -> Column:
-    """Home-currency price to 2 places; NULL without a rate."""
-    return F.round(native * rate, 2)
+    """Home-currency price to 2 places; NULL without a rate.
+
+    Rounded on the exact binary value, half to even: ``round`` works on the
+    shortest decimal spelling instead and differs on some values.
+    """
+    return fixed_text(native * rate, 2).try_cast("double")
+
+
+def fixed_text(number: Column, places: int) -> Column:
+    """The number written with that many places, rounded on its exact binary value."""
+    return F.call_function("format_number", number, F.lit("0." + "0" * places))
 
 
 def price_looks_wrong(inr: Column, kind: Column) -> Column:
