@@ -114,7 +114,7 @@ def price_series_scaled(points: DataFrame) -> DataFrame:
     with a long history never has to pass through one task.
     """
     priced = points.where(F.col("inr_price").isNotNull()).withColumn(
-        "t", F.unix_micros("captured_at").cast("double")
+        "t", F.unix_micros(F.col("captured_at").cast("timestamp")).cast("double")
     )
     extent = priced.groupBy(*LISTING_KEY).agg(
         F.min("t").alias("t0"),

@@ -12,7 +12,7 @@ _POINT = "store_id, sku, point_id, run_id, captured_at, native_currency, native_
 _POINTS = [c.strip() for c in _POINT.split(",")]
 
 
-@query("nth_latest", f"SELECT {_POINT}, rn AS nth FROM {{ranked}} WHERE rn = 2")
+@query("nth_latest", f"SELECT {_POINT}, CAST(rn AS INT) AS nth FROM {{ranked}} WHERE rn = 2")
 def nth_latest(b):
     return history.nth_latest(b.price_point, 2).select(*_POINTS, F.lit(2).alias("nth"))
 
@@ -277,10 +277,12 @@ _register_game_pages()
 
 
 @query("game_offers", f"""
-SELECT {_PAGE} FROM {{offer}} WHERE game = 'red ring 7' AND platform = 'SWITCH'
+SELECT {_PAGE} FROM {{offer}}
+WHERE game = (SELECT MIN(game) FROM {{listing}} WHERE platform = 'SWITCH') AND platform = 'SWITCH'
 ORDER BY inr_price NULLS FIRST, store_id, sku LIMIT 100""")
 def game_offers(b):
-    return listings.game_offers(b.tables, "red ring 7", "SWITCH")
+    game = b.listing.where("platform = 'SWITCH'").agg(F.min("game")).first()[0]
+    return listings.game_offers(b.tables, game, "SWITCH")
 
 
 def _facet_sql(where: str, own: dict[str, str] | None = None, source: str = "listing") -> str:
