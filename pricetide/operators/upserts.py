@@ -59,19 +59,12 @@ def price_points(observations: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def append_price_points(points: DataFrame, path: str) -> None:
-    """Append to the history, one folder per day.
+    """Append to the history, one folder per run.
 
-    Rows are spread by day and listing before the write, so that a day lands
-    in few files without the largest day having to pass through one task.
+    Rebalancing gathers a run into few files and, unlike a plain repartition,
+    splits a run that is too large for one task.
     """
-    day = F.to_date("captured_at")
-    (
-        points.withColumn("run_date", day)
-        .repartition("run_date", F.pmod(F.xxhash64(*LISTING_KEY), F.lit(32)))
-        .write.mode("append")
-        .partitionBy("run_date")
-        .parquet(path)
-    )
+    points.hint("rebalance", F.col("run_id")).write.mode("append").partitionBy("run_id").parquet(path)
 
 
 def fx_rate_upsert(fetched: DataFrame, order: list[str]) -> DataFrame:

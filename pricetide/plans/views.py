@@ -212,10 +212,13 @@ def with_views(sql: str) -> str:
         needed.extend(n for n in _closure(ref) if n not in needed)
     every = {**VIEWS, **DERIVED}
     names = {n: n for n in (*BASE_TABLES, *every)}
-    # A view may not be called like the table it is read from.
     bodies = [f"{n} AS ({_fill(every[n], names)}\n)" for n in needed]
+    body = _fill(sql, names).strip()
+    if body.startswith("WITH "):
+        own, body = body[len("WITH ") :], ""
+        return f"WITH RECURSIVE {', '.join([*bodies, own])}"
     head = f"WITH RECURSIVE {', '.join(bodies)}\n" if bodies else ""
-    return head + _fill(sql, names)
+    return head + body
 
 
 def _fill(sql: str, names: dict[str, str]) -> str:
