@@ -8,6 +8,7 @@ after a single test.
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from collections.abc import Callable
@@ -16,6 +17,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pricetide.functions.regex import let
+
 _NON_ASCII = r"[^\x00-\x7F]"
 
 
@@ -40,20 +43,22 @@ def _tables(rule: Callable[[str], str | None]) -> tuple[str, str, dict[str, str]
 def rewrite(col: Column, rule: Callable[[str], str | None], drop_rest: bool = False) -> Column:
     """Apply ``rule`` to each non-ASCII character; optionally drop what stays non-ASCII."""
     source, target, longer = _tables(rule)
-    out = F.translate(col, source, target) if source else col
-    if longer:
-        table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
-        expanded = F.array_join(
-            F.transform(
-                F.split(out, ""),
-                lambda c: F.when(c.rlike(_NON_ASCII), F.coalesce(F.element_at(table, c), c)).otherwise(c),
-            ),
-            "",
+
+    def expand(text: Column) -> Column:
+        # One literal instead of a tree of a thousand; folded into a constant map.
+        table = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")
+        chars = F.transform(
+            F.split(text, ""),
+            lambda c: F.when(c.rlike(_NON_ASCII), F.coalesce(F.element_at(table, c), c)).otherwise(c),
         )
-        out = F.when(out.rlike(_NON_ASCII), expanded).otherwise(out)
-    if drop_rest:
-        out = F.regexp_replace(out, _NON_ASCII, "")
-    return F.when(col.rlike(_NON_ASCII), out).otherwise(col)
+        return F.when(text.rlike(_NON_ASCII), F.array_join(chars, "")).otherwise(text)
+
+    def change(text: Column) -> Column:
+        out = F.translate(text, source, target) if source else text
+        out = let(out, expand) if longer else out
+        return F.regexp_replace(out, _NON_ASCII, "") if drop_rest else out
+
+    return let(col, lambda text: F.when(text.rlike(_NON_ASCII), change(text)).otherwise(text))
 
 
 def compatibility_ascii(char: str) -> str | None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide import vocab
-from pricetide.functions.regex import any_of, matches, pattern, squeeze
+from pricetide.functions.regex import any_of, let, matches, pattern, squeeze
 
 
 def unmark(text: Column) -> Column:
@@ -20,16 +20,18 @@ def named_platform(text: Column) -> Column:
     The order of the branches is the meaning: a list of both consoles is the
     older one, an explicit other console beats a bare "switch".
     """
-    clean = unmark(text)
-    return (
-        F.when(
-            matches(clean, vocab.BOTH_SWITCHES) & ~matches(clean, vocab.EXPLICIT_SWITCH2), F.lit("SWITCH")
+
+    def read(clean: Column) -> Column:
+        lists_both = matches(clean, vocab.BOTH_SWITCHES) & ~matches(clean, vocab.EXPLICIT_SWITCH2)
+        return (
+            F.when(lists_both, F.lit("SWITCH"))
+            .when(matches(clean, vocab.SWITCH2), F.lit("SWITCH2"))
+            .when(matches(clean, vocab.SWITCH), F.lit("SWITCH"))
+            .when(matches(clean, vocab.OTHER_CONSOLE), F.lit("UNKNOWN"))
+            .when(matches(clean, vocab.SWITCH_LOOSE), F.lit("SWITCH"))
         )
-        .when(matches(clean, vocab.SWITCH2), F.lit("SWITCH2"))
-        .when(matches(clean, vocab.SWITCH), F.lit("SWITCH"))
-        .when(matches(clean, vocab.OTHER_CONSOLE), F.lit("UNKNOWN"))
-        .when(matches(clean, vocab.SWITCH_LOOSE), F.lit("SWITCH"))
-    )
+
+    return let(unmark(text), read)
 
 
 def platform_of(text: Column, hint: Column | None = None) -> Column:
@@ -37,50 +39,55 @@ def platform_of(text: Column, hint: Column | None = None) -> Column:
     return F.coalesce(named_platform(text), *fallback, F.lit("UNKNOWN"))
 
 
-def with_classification(
-    df: DataFrame,
-    context: Column,
-    hint: Column | None = None,
-    title: Column | None = None,
-    platform_col: str = "platform",
-    kind_col: str = "kind",
-) -> DataFrame:
-    """Add platform and product kind.
+def _without_model_lists(product: Column) -> Column:
+    """A text naming both models lists what a game runs on; the names go."""
+    lists_models = matches(product, r"\blite\b") & matches(product, r"\boled\b")
+    no_models = F.regexp_replace(product, pattern(vocab.COMPATIBLE_MODELS), " ")
+    return F.when(lists_models, no_models).otherwise(product)
 
-    ``context`` is everything the shop says; ``title``, where the shop has one,
-    is the only text the exclusions read, and the console it names wins.  The
-    cleaned text feeds several tests, so it is a column of its own and is
-    computed once per row.
-    """
-    product = F.regexp_replace(squeeze(context if title is None else title), pattern(vocab.INCLUDES), " ")
-    lists_models = matches(F.col("_product"), r"\blite\b") & matches(F.col("_product"), r"\boled\b")
-    no_models = F.regexp_replace(F.col("_product"), pattern(vocab.COMPATIBLE_MODELS), " ")
-    platform = platform_of(squeeze(context), hint)
-    if title is not None:
-        platform = F.coalesce(named_platform(title), platform)
 
-    text, head = F.col("_product"), F.col("_head")
-    kind = (
+def _excluded_kind(text: Column) -> Column:
+    """What a product is when it is not a game; the part before the first ``|`` names it."""
+    head = F.substring_index(text, "|", 1)
+    extra_content = matches(head, vocab.DIGITAL_HEAD) & ~matches(text, vocab.PHYSICAL)
+    return (
         F.when(matches(text, vocab.SERVICE), "SERVICE")
-        .when(
-            matches(text, vocab.DIGITAL)
-            | (matches(head, vocab.DIGITAL_HEAD) & ~matches(text, vocab.PHYSICAL)),
-            "DIGITAL",
-        )
+        .when(matches(text, vocab.DIGITAL) | extra_content, "DIGITAL")
         .when(matches(text, vocab.HARDWARE) | matches(head, vocab.HARDWARE_HEAD), "HARDWARE")
         .when(matches(text, vocab.ACCESSORY), "ACCESSORY")
-        .when(F.col(platform_col) == "UNKNOWN", "UNKNOWN")
-        .otherwise("GAME")
     )
-    return (
-        df.withColumns({"_product": product, "_platform": platform})
-        .withColumn("_product", F.when(lists_models, no_models).otherwise(F.col("_product")))
-        .withColumns({"_head": F.substring_index("_product", "|", 1), platform_col: F.col("_platform")})
-        .withColumn(kind_col, kind)
-        .drop("_product", "_platform", "_head")
+
+
+def classify(context: Column, hint: Column | None = None, title: Column | None = None) -> Column:
+    """STRUCT<platform, kind>.
+
+    ``context`` is everything the shop says; ``title``, where the shop has
+    one, is the only text the exclusions read, and the console it names wins.
+    """
+    product = F.regexp_replace(squeeze(context if title is None else title), pattern(vocab.INCLUDES), " ")
+    platform = platform_of(squeeze(context), hint)
+    if title is not None:
+        platform = F.coalesce(named_platform(title), platform)
+    excluded = let(let(product, _without_model_lists), _excluded_kind)
+    return let(
+        F.struct(platform.alias("platform"), excluded.alias("kind")),
+        lambda c: F.struct(
+            c["platform"].alias("platform"),
+            F.coalesce(c["kind"], F.when(c["platform"] == "UNKNOWN", "UNKNOWN").otherwise("GAME")).alias("kind"),
+        ),
     )
 
 
+def with_classification(
+    df: DataFrame, context: Column, hint: Column | None = None, title: Column | None = None
+) -> DataFrame:
+    """Add ``platform`` and ``kind``."""
+    verdict = df.withColumn("_verdict", classify(context, hint, title))
+    return verdict.withColumns(
+        {"platform": F.col("_verdict.platform"), "kind": F.col("_verdict.kind")}
+    ).drop("_verdict")
+
+
 def infer_region(title: Column, default: Column) -> Column:
     """First matching rule, else the store's default."""
     first, *rest = vocab.REGION_RULES

@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 
 from pricetide import vocab
 from pricetide.functions import charmap
-from pricetide.functions.regex import pattern
+from pricetide.functions.regex import let, pattern
 
 
 def finite(col: Column) -> Column:
-    return F.when(F.isnan(col) | F.abs(col).isin(float("inf")), F.lit(None)).otherwise(col).cast("double")
+    return let(col, lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)).cast("double")
+
+
+def _number_text(kept: Column) -> Column:
+    """Digits, points and commas to one plain number."""
+    decimal_comma = F.regexp_replace(F.replace(kept, F.lit("."), F.lit("")), r"^([^,]*),", "$1.")
+    plain = F.replace(kept, F.lit(","), F.lit(""))
+    return F.when(kept.contains(".") & kept.rlike(r",\d*$"), decimal_comma).otherwise(plain)
 
 
 def parse_price(raw: Column) -> Column:
@@ -23,10 +30,7 @@ def parse_price(raw: Column) -> Column:
     """
     text = charmap.rewrite(raw.cast("string"), charmap.ascii_digit)
     kept = F.regexp_replace(F.regexp_replace(text, pattern(vocab.CURRENCY_MARKER), " "), r"[^0-9.,]", "")
-    plain = F.replace(kept, F.lit(","), F.lit(""))
-    decimal_comma = F.regexp_replace(F.replace(kept, F.lit("."), F.lit("")), r"^([^,]*),", "$1.")
-    number = F.when(kept.contains(".") & kept.rlike(r",\d*$"), decimal_comma).otherwise(plain)
-    prefix = F.nullif(F.regexp_extract(number, vocab.NUMBER_PREFIX, 1), F.lit(""))
+    prefix = F.regexp_extract(let(kept, _number_text), vocab.NUMBER_PREFIX, 1)
     return finite(prefix.try_cast("double"))
 
 

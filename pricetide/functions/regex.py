@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,3 +27,13 @@ def matches(col: Column, sources: str | Sequence[str]) -> Column:
 
 def squeeze(col: Column) -> Column:
     return F.regexp_replace(col, r"(?U)\s+", " ")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    The optimizer copies the definition of a projected column into every
+    filter and projection that mentions it.  For chains of regular expressions
+    that multiplies both the plan and the work; a bound variable is not copied.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

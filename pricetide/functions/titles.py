@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricetide import vocab
 from pricetide.functions import charmap
 from pricetide.functions.platforms import platform_of, unmark
-from pricetide.functions.regex import matches, pattern, squeeze
+from pricetide.functions.regex import let, matches, pattern, squeeze
 
 _OPEN, _CLOSE = "\x01", "\x02"
 
@@ -63,9 +63,11 @@ def variant_word(word: Column) -> Column:
 
 def _is_marketing(raw: Column, folded: Column) -> Column:
     """A segment that names no edition and no word or number telling products apart."""
-    words = _key_words(folded)
-    names_edition = matches(raw, vocab.EDITION) & (F.size(words) > 0)
-    return ~names_edition & ~F.exists(words, variant_word)
+    names_edition = matches(raw, vocab.EDITION)
+    return let(
+        _key_words(folded),
+        lambda words: ~(names_edition & (F.size(words) > 0)) & ~F.exists(words, variant_word),
+    )
 
 
 def _longest_first(prefixes: tuple[str, ...]) -> list[str]:
@@ -73,14 +75,13 @@ def _longest_first(prefixes: tuple[str, ...]) -> list[str]:
 
 
 def without_publisher(key: Column) -> Column:
-    """Drop the longest leading publisher name when two or more words remain."""
-    out = None
-    for prefix in _longest_first(vocab.PUBLISHER_PREFIXES):
-        rest = F.substr(key, F.lit(len(prefix) + 2))
-        hit = (key == prefix) | key.startswith(prefix + " ")
-        value = F.when(rest.contains(" "), rest).otherwise(key)
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise(key)
+    """Drop the longest leading publisher name when two or more words remain.
+
+    The atomic group settles on the longest name: a shorter one is not tried
+    when too little would remain.
+    """
+    names = "|".join(_longest_first(vocab.PUBLISHER_PREFIXES))
+    return F.regexp_replace(key, f"^(?>(?:{names})(?= |$)) (?=[^ ]+ )", "")
 
 
 def confirmed_prefix_rest(key: Column) -> Column:
@@ -89,31 +90,37 @@ def confirmed_prefix_rest(key: Column) -> Column:
     return F.regexp_extract(key, f"^(?:{names})(?: |$)(.*)$", 1)
 
 
-def with_match_key(df: DataFrame, title: str, out: str) -> DataFrame:
-    """Add the grouping key of ``title``; '' means the title cannot be grouped.
+def _head_words(raw: Column, folded: Column) -> Column:
+    """Words of the part before the first ``|``, where that part is the whole name.
 
-    Only where the title has a ``|`` is the part before it considered alone:
-    it must name a console, keep a word, and be followed by nothing that tells
-    products apart.
+    It must name a console and be followed by nothing that tells products apart.
     """
-    raw = F.col(title)
-    folded = F.translate(
-        charmap.rewrite(unmark(raw), charmap.compatibility_ascii_no_bar, drop_rest=True), "'`", ""
-    )
-    bar = raw.contains("|")
-    segments = F.split(F.col("_folded"), r"\|")
-    head_words = _key_words(F.get(segments, F.lit(0)))
+    segments = F.split(folded, r"\|")
     marketing = F.zip_with(F.split(raw, r"\|"), segments, _is_marketing)
-    tail = F.slice(marketing, 2, F.greatest(F.size(segments) - 1, F.lit(1)))
-    head_ok = (platform_of(F.substring_index(raw, "|", 1)) != "UNKNOWN") & F.forall(tail, lambda m: m)
-    words = F.when((F.size("_head_words") > 0), F.col("_head_words")).otherwise(_key_words(F.col("_folded")))
-    return (
-        df.withColumn("_folded", folded)
-        .withColumn("_head_words", F.when(bar & head_ok, head_words))
-        .withColumn("_key", F.array_join(words, " "))
-        .withColumn(out, without_publisher(F.col("_key")))
-        .drop("_folded", "_head_words", "_key")
-    )
+    tail = F.slice(marketing, 2, F.greatest(F.size(marketing) - 1, F.lit(1)))
+    names_console = platform_of(F.substring_index(raw, "|", 1)) != "UNKNOWN"
+    return F.when(raw.contains("|") & names_console & F.forall(tail, lambda m: m), _key_words(segments[0]))
+
+
+def match_key(title: Column) -> Column:
+    """The grouping key of a title; '' means it cannot be grouped."""
+
+    def words(raw: Column, folded: Column) -> Column:
+        return let(
+            _head_words(raw, folded),
+            lambda head: F.when(F.size(head) > 0, head).otherwise(_key_words(folded)),
+        )
+
+    def key(raw: Column) -> Column:
+        ascii_text = charmap.rewrite(unmark(raw), charmap.compatibility_ascii_no_bar, drop_rest=True)
+        folded = F.translate(ascii_text, "'`", "")
+        return F.array_join(let(folded, lambda f: words(raw, f)), " ")
+
+    return without_publisher(let(title, key))
+
+
+def with_match_key(df: DataFrame, title: str, out: str) -> DataFrame:
+    return df.withColumn(out, match_key(F.col(title)))
 
 
 def word_set(key: Column) -> Column:
@@ -128,12 +135,14 @@ def truncated_title(title: Column) -> Column:
 
 def uncut_title(title: Column, candidates: Column) -> Column:
     """A cut title, replaced by the first longer candidate that starts with its stem."""
-    stem = F.trim(squeeze(F.regexp_replace(title, r"(\.\.\.|…)$", "")))
     full = F.transform(candidates, lambda c: F.trim(squeeze(F.coalesce(c, F.lit("")))))
-    found = F.get(
-        F.filter(full, lambda c: (stem != "") & (F.length(c) > F.length(stem)) & c.startswith(stem)), F.lit(0)
-    )
-    return F.when(truncated_title(title), F.coalesce(found, title)).otherwise(title)
+
+    def longer(stem: Column) -> Column:
+        fits = F.filter(full, lambda c: (stem != "") & (F.length(c) > F.length(stem)) & c.startswith(stem))
+        return F.get(fits, F.lit(0))
+
+    stem = F.trim(squeeze(F.regexp_replace(title, r"(\.\.\.|…)$", "")))
+    return F.when(truncated_title(title), F.coalesce(let(stem, longer), title)).otherwise(title)
 
 
 def literal_contains(title: Column, term: str) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pricetide.functions.platforms import named_platform
 from pricetide.functions.titles import confirmed_prefix_rest, variant_word, with_match_key, word_set
 from pricetide.operators.common import first_row, top_rows
+from pricetide.session import cut_lineage
 from pricetide.tables import LISTING_KEY
 
 PAIR = ["key", "platform"]
@@ -92,14 +93,18 @@ def _follow(df: DataFrame, column: str, mapping: DataFrame, to: str) -> DataFram
 
 
 def key_mapping(keys: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(key, platform) to ``game`` from distinct keys with their listing counts ``n``."""
-    stripped = confirmed_prefix_join(keys)
-    once = _follow(keys.withColumn("game", F.col("key")), "game", stripped, "stripped")
+    """(key, platform) to ``game`` from distinct keys with their listing counts ``n``.
+
+    The keys with their confirmed prefixes gone are written out once: every
+    later step reads them, some twice.
+    """
+    once = cut_lineage(_follow(keys.withColumn("game", F.col("key")), "game", confirmed_prefix_join(keys), "stripped"))
     uses = once.groupBy(F.col("game").alias("key"), "platform").agg(F.sum("n").alias("uses"))
-    canonical = canonical_keys(uses)
+    canonical = cut_lineage(canonical_keys(uses))
     final = _follow(once, "game", canonical, "canonical").select(*PAIR, "game")
     if aliases is None:
         return final
+    stripped = once.where("key <> game").select(*PAIR, F.col("game").alias("stripped"))
     return alias_join(final, aliases_by_key(aliases), stripped, canonical)
 
 
@@ -110,14 +115,16 @@ def alias_join(
 
     The target joins the group its own listings ended up in.
     """
-    by_raw = aliases.select("key", F.col("target").alias("_raw"))
-    by_final = aliases.select(F.col("key").alias("game"), F.col("target").alias("_final"))
+    by_key = cut_lineage(aliases)
+    by_raw = by_key.select("key", F.col("target").alias("_raw"))
+    by_final = by_key.select(F.col("key").alias("game"), F.col("target").alias("_final"))
     targeted = (
         final.join(by_raw, "key", "left")
         .join(by_final, "game", "left")
         .withColumn("target", F.coalesce("_raw", "_final"))
         .drop("_raw", "_final")
     )
+    # Keys without an alias have a NULL target; they stay out of the two look-ups.
     moved = targeted.where(F.col("target").isNotNull())
     resolved = _follow(_follow(moved, "target", stripped, "stripped"), "target", canonical, "canonical")
     return (
@@ -128,13 +135,19 @@ def alias_join(
 
 
 def title_mapping(listing: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """Distinct (raw_title, stored_platform) to (game, platform); ``game`` NULL when it cannot be grouped."""
-    titles = keyed_titles(listing)
+    """Distinct (raw_title, stored_platform) to (game, platform); ``game`` NULL when it cannot be grouped.
+
+    The keyed titles are the costly part (text rules) and are needed twice, so
+    they are written out.
+    """
+    titles = cut_lineage(keyed_titles(listing))
     keys = _groupable(titles).groupBy(*PAIR).agg(F.sum("n").alias("n"))
     mapping = key_mapping(keys, aliases)
-    return titles.join(mapping, PAIR, "left").select(
-        "raw_title", "stored_platform", "platform", F.when(F.col("platform") != "UNKNOWN", F.col("game")).alias("game")
-    )
+    columns = ["raw_title", "stored_platform", "platform", "game"]
+    # Titles without a key share one empty key and take no part in the join.
+    groupable = (F.col("key") != "") & (F.col("platform") != "UNKNOWN")
+    alone = titles.where(~groupable).withColumn("game", F.lit(None).cast("string"))
+    return titles.where(groupable).join(mapping, PAIR).select(*columns).unionByName(alone.select(*columns))
 
 
 def assign_games(listing: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
