@@ -61,15 +61,6 @@ def variant_word(word: Column) -> Column:
     return word.isin(*vocab.VARIANT_WORDS) | word.rlike("[0-9]")
 
 
-def _is_marketing(raw: Column, folded: Column) -> Column:
-    """A segment that names no edition and no word or number telling products apart."""
-    names_edition = matches(raw, vocab.EDITION)
-    return let(
-        _key_words(folded),
-        lambda words: ~(names_edition & (F.size(words) > 0)) & ~F.exists(words, variant_word),
-    )
-
-
 def _longest_first(prefixes: tuple[str, ...]) -> list[str]:
     return sorted(prefixes, key=lambda p: -len(p.split()))
 
@@ -90,31 +81,38 @@ def confirmed_prefix_rest(key: Column) -> Column:
     return F.regexp_extract(key, f"^(?:{names})(?: |$)(.*)$", 1)
 
 
-def _head_words(raw: Column, folded: Column) -> Column:
-    """Words of the part before the first ``|``, where that part is the whole name.
+def _tells_apart(raw: Column, words: Column) -> Column:
+    """A segment naming an edition, or holding a word or number that tells products apart."""
+    return (matches(raw, vocab.EDITION) & (F.size(words) > 0)) | F.exists(words, variant_word)
 
-    It must name a console and be followed by nothing that tells products apart.
+
+def _name_words(raw: Column, words: Column) -> Column:
+    """The words that make the key: those of the part before the first ``|`` or of the whole title.
+
+    ``words`` holds the whole title's words, then those of each segment.  The
+    first segment is the whole name when it names a console, keeps a word and
+    nothing after it tells products apart.
     """
-    segments = F.split(folded, r"\|")
-    marketing = F.zip_with(F.split(raw, r"\|"), segments, _is_marketing)
-    tail = F.slice(marketing, 2, F.greatest(F.size(marketing) - 1, F.lit(1)))
+    segments = F.zip_with(F.split(raw, r"\|"), F.slice(words, 2, F.size(words)), _tells_apart)
+    tail = F.slice(segments, 2, F.size(words))
     names_console = platform_of(F.substring_index(raw, "|", 1)) != "UNKNOWN"
-    return F.when(raw.contains("|") & names_console & F.forall(tail, lambda m: m), _key_words(segments[0]))
+    use_head = (F.size(words) > 1) & names_console & (F.size(F.get(words, F.lit(1))) > 0)
+    return F.when(use_head & ~F.exists(tail, lambda apart: apart), F.get(words, F.lit(1))).otherwise(
+        F.get(words, F.lit(0))
+    )
 
 
 def match_key(title: Column) -> Column:
     """The grouping key of a title; '' means it cannot be grouped."""
 
-    def words(raw: Column, folded: Column) -> Column:
-        return let(
-            _head_words(raw, folded),
-            lambda head: F.when(F.size(head) > 0, head).otherwise(_key_words(folded)),
-        )
+    def texts(folded: Column) -> Column:
+        whole = F.array(folded)
+        return F.when(folded.contains("|"), F.concat(whole, F.split(folded, r"\|"))).otherwise(whole)
 
     def key(raw: Column) -> Column:
         ascii_text = charmap.rewrite(unmark(raw), charmap.compatibility_ascii_no_bar, drop_rest=True)
-        folded = F.translate(ascii_text, "'`", "")
-        return F.array_join(let(folded, lambda f: words(raw, f)), " ")
+        words = F.transform(let(F.translate(ascii_text, "'`", ""), texts), _key_words)
+        return F.array_join(let(words, lambda w: _name_words(raw, w)), " ")
 
     return without_publisher(let(title, key))
 
