@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricetide import vocab
 from pricetide.functions.prices import fixed_text
 from pricetide.operators.history import latest_and_previous, raw_change
+from pricetide.session import cut_lineage
 from pricetide.tables import LISTING_KEY, PriceTables
 
 
@@ -40,10 +41,14 @@ def movers(t: PriceTables, store_id: object = None) -> DataFrame:
     """All real price moves, biggest drop first; ``is_deal`` leaves out currency moves.
 
     Cluster sizes are aggregated and joined back: a window over a currency's
-    moves would put the whole currency into one task.  Reports the raw stock
-    flag of the latest point.
+    moves would put the whole currency into one task.  The moves are needed
+    for the clusters and for the rows, so they are written out once; reading
+    that table twice costs far less than ranking the history twice.  Reports
+    the raw stock flag of the latest point.
     """
-    moved = moves(t.price_point)
+    moved = cut_lineage(
+        moves(t.price_point).withColumn("prev_price", F.col("previous.inr_price")).drop("previous")
+    )
     suspects = fx_clusters(moved).where("fx_suspect").select("native_currency", "pct_bucket", "fx_suspect")
     listing = t.listing.select(*LISTING_KEY, "raw_title", "url", "region")
     shop = t.store.select("store_id", F.col("name").alias("store"))
@@ -63,7 +68,7 @@ def movers(t: PriceTables, store_id: object = None) -> DataFrame:
         "store",
         F.col("native_currency").alias("currency"),
         F.col("inr_price").alias("now_price"),
-        F.col("previous.inr_price").alias("prev_price"),
+        "prev_price",
         "in_stock",
         "captured_at",
         "pct",

@@ -40,5 +40,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _runner(build) for name, build in _BUILDS.items()}
 
 
+def builds() -> dict[str, Build]:
+    """Queries over tables that are bound already, e.g. stored ones."""
+    return dict(_BUILDS)
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_views(sql) for name, sql in _SQL.items()}

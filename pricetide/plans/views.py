@@ -167,6 +167,21 @@ def references(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Let several tasks share a table that one read split holds whole.
+
+    A Parquet file of a single row group is read by one task, which would then
+    do all the work up to the first exchange.  Tables of more than one split,
+    and tables of less than a megabyte, are left as they are.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    configured = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(configured)
+    tasks = min(spark.sparkContext.defaultParallelism, size >> 20)
+    return df.repartition(tasks) if size <= split and tasks > 1 else df
+
+
 class Bound:
     """Views as DataFrames over one folder of Parquet tables."""
 
@@ -181,7 +196,7 @@ class Bound:
                 sql = VIEWS[name]
                 self._frames[name] = self.spark.sql(sql, **{r: self.view(r) for r in references(sql)})
             else:
-                self._frames[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._frames[name] = spread_small(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
         return self._frames[name]
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -194,6 +209,15 @@ class Bound:
         return PriceTables(**{name: self.view(name) for name in TABLES})
 
 
+    def landed(self, path: str) -> Bound:
+        """The same tables, stored under ``path`` as a collector would keep them."""
+        stored = Bound(self.spark, self.folder)
+        for name in TABLES:
+            self.view(name).write.mode("overwrite").parquet(f"{path}/{name}")
+            stored._frames[name] = self.spark.read.schema(self.view(name).schema).parquet(f"{path}/{name}")
+        return stored
+
+
 @lru_cache(maxsize=None)
 def _closure(name: str) -> tuple[str, ...]:
     sql = {**VIEWS, **DERIVED}.get(name)
