@@ -326,17 +326,16 @@ def completeness(b):
     return monitoring.completeness(b.fetched).select("store_id", "run_id", "outcome.*")
 
 
-#: Page walks: 20 rows a page, one walk per store and year, some pages empty.
+#: Page walks: a store's year is a walk and its months the pages; a month without rows is an empty page.
 VIEWS["walked"] = """
-SELECT store_id, CAST(floor(run_id / 12) AS BIGINT) AS walk, point_id AS row_id, CAST(sku % 97 AS BIGINT) AS sku,
-  in_stock AS kept,
-  CAST(floor((row_number() OVER (PARTITION BY store_id, CAST(floor(run_id / 12) AS BIGINT)
-    ORDER BY captured_at, point_id, sku) - 1) / 8) + 1 AS BIGINT) AS page
+SELECT store_id, CAST(floor((run_id - 1) / 12) AS BIGINT) AS walk, (run_id - 1) % 12 + 1 AS page, point_id AS row_id,
+  sku % 7 AS sku, in_stock AS kept
 FROM {price_point}"""
 VIEWS["walk_rows"] = """
-SELECT store_id, walk, page, CASE WHEN (store_id + page) % 13 = 0 THEN NULL ELSE row_id END AS row_id,
-  CASE WHEN (store_id + page) % 13 = 0 THEN NULL ELSE sku END AS sku, (store_id + page) % 13 <> 0 AND kept AS kept
-FROM {walked}"""
+SELECT store_id, walk, page, row_id, sku, kept FROM {walked} WHERE (store_id + page) % 13 <> 0
+UNION ALL
+SELECT w.store_id, w.walk, m.page, CAST(NULL AS BIGINT) AS row_id, CAST(NULL AS BIGINT) AS sku, FALSE AS kept
+FROM (SELECT DISTINCT store_id, walk FROM {walked}) w JOIN (SELECT DISTINCT walk, page FROM {walked}) m ON w.walk = m.walk"""
 _YIELD = """
 SELECT r.store_id, r.walk, r.page, COUNT(row_id) AS raw_rows, COUNT(*) FILTER (WHERE kept) AS kept_rows,
   COALESCE(MAX(n.new_rows), 0) AS new_rows
