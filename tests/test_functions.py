@@ -267,7 +267,7 @@ SKUS = [
     ("https://www.amazon.in/dp/B0CQNVQD9N", [], "B0CQNVQD9N"),
     ("https://www.amazon.in/Mario-Kart/dp/B0CQNVQD9N/", [], "B0CQNVQD9N"),
     ("https://www.amazon.in/dp/B0CQNVQD9N?pid=NO&qid=17", [], "B0CQNVQD9N"),
-    ("https://www.flipkart.com/x/p/itmabc123?pid=XYZ123ABC", [], "XYZ123ABC"),
+    ("https://www.shop.test/x/p/itmabc123?pid=XYZ123ABC", [], "XYZ123ABC"),
     ("https://shop.test/product/mario-kart-world/", [], "mario-kart-world"),
     ("https://shop.test/product/" + "a" * 300, [], "a" * 120),
     ("https://in.shop.test/product-detail?id=847362", [], "product-detail"),
