@@ -9,6 +9,7 @@ from pricetide.operators import matching
 from pricetide.plans import text_sql as sql
 from pricetide.plans.registry import query
 from pricetide.plans.views import DERIVED, VIEWS
+from pricetide.session import cut_lineage
 
 #: Price texts in the spellings shops use, from the numbers of every line item.
 VIEWS["price_text"] = """
@@ -329,8 +330,9 @@ def src_aliases(b):
 
 
 def _base_keys(b):
-    keyed = matching.keyed_titles(b.listing)
-    return keyed.where("key <> '' AND platform <> 'UNKNOWN'").groupBy("key", "platform").agg(F.sum("n").alias("n"))
+    """Distinct keys with their listing counts, written out as the whole pass does."""
+    keyed = matching.keyed_titles(b.listing).where("key <> '' AND platform <> 'UNKNOWN'")
+    return cut_lineage(keyed.groupBy("key", "platform").agg(F.sum("n").alias("n")))
 
 
 @query("confirmed_prefix_join", "SELECT key, platform, stripped FROM {stripped}")
