@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import langid, neardup, quality
+from pricetide.llm import langid, neardup, packing, pii, quality
 from pricetide.llm.common import in_fold, keep, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,10 +34,24 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.select(COLUMNS).join(dropped, "doc_id", "left_anti").select(COLUMNS)
 
 
+def personal_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind; ``n_chars`` counts the new text."""
+    found = pii.find(docs.select(COLUMNS), pii.fit(docs))
+    masked = found.withColumn("text", pii.masked(F.col("text"), F.col("found")))
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most ``packing.CAPACITY`` code points; none holds a source, or copies of a text, twice."""
+    return packing.pack_documents(docs)
+
+
 STAGES = [
     ("quality", good_quality),
     ("language", known_language),
     ("near_duplicates", one_of_each_group),
+    ("personal_data", personal_data_masked),
+    ("packing", packed),
 ]
 
 #: The stages train classifiers, so SQL cannot express them; tests compare each with brute force.

@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import langid, neardup, quality
+from pricetide.llm import ann, bpe, langid, licenses, neardup, packing, pii, quality, topk, urlfilter
 from pricetide.llm.common import in_fold, table
 
+#: The rules that ``op6_url_filters`` applies: host, beginning of the path, verdict.
+RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
 
 def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -17,6 +26,42 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """A document's place in the collection is its path: source, language, id."""
+    docs = table(spark, folder, "documents")
+    docs = docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    found = licenses.inherited(licenses.scan(docs, ["doc_id", "path"]))
+    return found.select("doc_id", "path", "license", "origin", "similarity", "from_folder")
+
+
+def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    base = F.filter("found", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"))
+
+
+def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+    encoded = bpe.encode(table(spark, folder, "documents"), vocabulary, ["doc_id"])
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    counted = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids")
+    back = bpe.decode(counted, vocabulary, ["doc_id", "n_tokens", "ids_sha256"])
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urlfilter.judge(table(spark, folder, "pages"), rules)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), k=4)
 
@@ -28,7 +73,21 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op7_minhash_near_dedup, op8_language_id)}
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
+def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_license_scans, op3_nearest_neighbours, op4_personal_data, op5_bpe_round_trip,
+        op6_url_filters, op7_minhash_near_dedup, op8_language_id, op9_best_fit_packing, op10_exact_top_k,
+    )
+}
 
 #: DuckDB SQL for the queries that SQL can express.
 SQL: dict[str, str] = {}

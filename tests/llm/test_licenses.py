@@ -1,0 +1,72 @@
+"""Licences: cosine against a dense computation, inheritance by paths."""
+
+import math
+import re
+from collections import Counter
+
+from pricetide.llm import licenses
+
+TEXTS = [
+    None, "", "nothing to see", "Licensed under the Apache License, Version 2.0.", "words\nReleased under the MIT License.\nmore words here",
+    "This work is licensed under the GNU General Public License, version 3.\n" + "filler words of no importance " * 40, "version 2.0 of something else entirely",
+    "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software\nand associated documentation files", "LICENSED UNDER CC BY-NC 4.0",
+    "Licensed under CC BY 4.0.\n\n\nlater text", "x" * 100_000, "Licensed under the Apache License, Version 2.0.",
+]
+
+
+def words(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
+
+
+def brute(texts):
+    known = {w for ts in licenses.TEMPLATES.values() for t in ts for w in words(t)}
+    df = Counter(w for t in texts for w in set(words(t or "")) & known)
+    idf = lambda w: math.log((1 + len(texts)) / (1 + df[w])) + 1 if w in known else math.log(1 + len(texts)) + 1
+    vector = lambda t: {w: n * idf(w) for w, n in Counter(words(t)).items()}
+
+    def cosine(a, b):
+        length = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+        return sum(x * b.get(w, 0) for w, x in a.items()) / length if length else 0.0
+
+    out = []
+    for text in texts:
+        def best(units):
+            return max(((cosine(vector(u), vector(t)), n) for u in units for n, ts in licenses.TEMPLATES.items() for t in ts), key=lambda x: x[0], default=(0, None))
+
+        whole = best([text or ""])
+        header = best([*(text or "").split("\n"), *re.split(r"\n[ \t\r]*\n", text or "")])
+        if whole[0] >= licenses.THRESHOLD:
+            out.append((whole[1], "file", whole[0]))
+        elif header[0] >= licenses.THRESHOLD:
+            out.append((header[1], "header", header[0]))
+        else:
+            out.append((None, None, max(whole[0], header[0])))
+    return out
+
+
+def test_cosines(spark):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, license string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs, ["doc_id"]).collect()}
+    for i, (name, origin, similarity) in enumerate(brute(TEXTS)):
+        assert (got[i]["license"], got[i]["origin"]) == (name, origin), TEXTS[i]
+        assert abs(got[i]["similarity"] - similarity) < 1e-9
+    assert got[5]["license"] == "GPL-3.0" and got[5]["origin"] == "header" and got[8]["license"] == "CC-BY-NC-4.0"
+
+
+def test_inheritance(spark):
+    rows = [
+        ("LICENSE", "MIT", "header", 0.9), ("a/x", None, None, 0.0), ("a/b/COPYING", "GPL-3.0", "header", 0.9), ("a/b/c/d/y", None, None, 0.0),
+        ("a/b/z", "Apache-2.0", "header", 0.9), ("top", None, None, 0.0), (None, None, None, 0.0), ("ab/x", None, None, 0.0), ("a/b/c/license.txt", None, None, 0.1),
+        ("a/q/doc", "CC0-1.0", "file", 1.0), ("a/q/other", None, None, 0.0), ("a/q/other", None, None, 0.0), ("a/q/doc2", "MIT", "file", 1.0),
+    ]
+    df = spark.createDataFrame(rows, "path string, license string, origin string, similarity double")
+    got = {r["path"]: (r["license"], r["origin"], r["from_folder"]) for r in licenses.inherited(df).collect()}
+    assert licenses.inherited(df).count() == len(rows)
+    assert got["a/x"] == ("MIT", "inherited", "") and got["a/b/c/d/y"] == ("GPL-3.0", "inherited", "a/b") and got["a/b/z"] == ("Apache-2.0", "header", None)
+    assert got["top"] == ("MIT", "inherited", "") and got[None] == (None, None, None) and got["ab/x"][0] == "MIT"
+    assert got["a/b/c/license.txt"] == ("GPL-3.0", "inherited", "a/b") and got["a/q/other"] == ("CC0-1.0", "inherited", "a/q")
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, path string")
+    assert licenses.inherited(licenses.scan(docs, ["doc_id", "path"])).collect() == []
