@@ -14,7 +14,9 @@ that agree in a whole band are candidates:
 1. each set is checked against the hubs it shares most bands with (the hub of a
    band's bucket is its member with most fellow members over all buckets);
 2. components are formed, and within a bucket all pairs that are still in
-   different components are checked, whatever their number.
+   different components are checked, whatever their number: in small buckets
+   by a join, in crowded ones by comparing blocks of sets, of which only
+   confirmed links leave the task.
 
 Every link is confirmed on the full sets.  Components, not pairs, are asked
 for, so pairs inside a component need no check.
@@ -45,6 +47,10 @@ SHINGLE_WORDS = 5
 BANDS = 40
 BAND_ROWS = 5
 HUBS = 3
+#: Sets in buckets up to this size meet in a join; larger buckets are compared in blocks of sets.
+SMALL_BUCKET = 32
+BLOCK_SETS = 1_024
+BLOCK_SHINGLES = 1_000_000
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
 
@@ -142,6 +148,76 @@ def _confirmed(percent: int):
     return run
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each left set shares with each right one."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not left or not right:
+        return out.astype(np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    row_a, row_b = np.repeat(np.arange(len(left)), [len(s) for s in left]), np.repeat(np.arange(len(right)), [len(s) for s in right])
+    known = np.intersect1d(a, b)
+    if not len(known):
+        return out.astype(np.int64)
+
+    def placed(items: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(known, items).clip(max=len(known) - 1)
+        hit = known[at] == items
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], rows[hit][order]
+
+    (at_a, row_a), (at_b, row_b) = placed(a, row_a), placed(b, row_b)
+    in_a, in_b = np.bincount(at_a, minlength=len(known)), np.bincount(at_b, minlength=len(known))
+    frequent = in_a * in_b > len(left) * len(right) / 64
+    # frequent shingles by matrix products, a slice of columns at a time
+    column = np.cumsum(frequent) - 1
+    use_a, use_b = frequent[at_a], frequent[at_b]
+    for low in range(0, int(frequent.sum()), 2048):
+        x, y = np.zeros((len(left), 2048), np.float32), np.zeros((len(right), 2048), np.float32)
+        for dense, at, rows, use in ((x, at_a, row_a, use_a), (y, at_b, row_b, use_b)):
+            part = use & (column[at] >= low) & (column[at] < low + 2048)
+            dense[rows[part], column[at[part]] - low] = 1
+        out += x @ y.T
+    # the others by listing who meets whom, a bounded number of meetings at a time
+    first_b = np.cumsum(in_b) - in_b
+    rare_at, rare_row = at_a[~use_a], row_a[~use_a]
+    meetings = np.cumsum(in_b[rare_at]) if len(rare_at) else np.zeros(0, np.int64)
+    start = 0
+    while start < len(rare_at):
+        stop = max(start + 1, int(np.searchsorted(meetings, (meetings[start - 1] if start else 0) + 4_000_000, side="right")))
+        at, count = rare_at[start:stop], in_b[rare_at[start:stop]]
+        within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        pair = np.repeat(rare_row[start:stop], count) * len(right) + row_b[np.repeat(first_b[at], count) + within]
+        out += np.bincount(pair, minlength=out.size).reshape(out.shape)
+        start = stop
+    return out.astype(np.int64)
+
+
+def _block_links(percent: int):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        sets = [np.frombuffer(x.as_buffer(), U) for x in rows.column("shingles")]
+        rep, component, block = (rows.column(c).to_numpy() for c in ("rep", "component", "block"))
+        low, high = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        names, count = np.unique(component, return_counts=True)
+        main = component == names[count.argmax()]
+        found: set[tuple[int, int]] = set()
+        # pairs inside the largest component need no check
+        for left, right in (((block == low) & ~main, block == high), ((block == low) & main, (block == high) & ~main)):
+            a, b = np.flatnonzero(left), np.flatnonzero(right)
+            for start in range(0, len(a), 512):
+                part = a[start : start + 512]
+                both = overlaps([sets[x] for x in part], [sets[x] for x in b])
+                size_a, size_b = np.array([len(sets[x]) for x in part]), np.array([len(sets[x]) for x in b], np.int64)
+                near = 100 * both >= percent * (size_a[:, None] + size_b[None, :] - both)
+                near &= component[part][:, None] != component[b][None, :]
+                for x, y in zip(*np.nonzero(near), strict=True):
+                    found.add(tuple(sorted((int(rep[part[x]]), int(rep[b[y]])))))
+        pairs = sorted(found)
+        return pa.table({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return run
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough; sizes alone rule many out before the sets are read."""
     with_u = pairs.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("su")), "u")
@@ -200,22 +276,28 @@ def near_duplicates(
     found = components(links)
 
     # whatever shares a bucket but not yet a component
-    labelled = member.select("bucket", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "bucket", "rep", "n", F.coalesce("component", "rep").alias("component")
+    labelled = keep(
+        member.select("bucket", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
+            "bucket", "rep", "n", F.coalesce("component", "rep").alias("component")
+        )
+    )
+    mixed = keep(
+        labelled.groupBy("bucket")
+        .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), F.min("rep").alias("low"))
+        .where("x <> y")
+        .select("bucket", "size", "low")
     )
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    open_ = keep(labelled.join(mixed.select("bucket"), "bucket"))
-    mine, other = open_.alias("mine"), open_.alias("other")
-    rest = (
+    few = labelled.join(mixed.where(F.col("size") <= SMALL_BUCKET).select("bucket"), "bucket")
+    mine, other = few.alias("mine"), few.alias("other")
+    pairs = (
         mine.join(other, F.col("mine.bucket") == F.col("other.bucket"))
         .where(F.col("mine.component") < F.col("other.component"))
         .where(_sizes_allow("mine.n", "other.n", percent))
         .select(F.col("mine.rep").alias("u"), F.col("other.rep").alias("v"))
         .distinct()
-        .join(best.select(F.col("rep").alias("u"), F.col("hub").alias("v")), ["u", "v"], "left_anti")
-        .join(best.select(F.col("hub").alias("u"), F.col("rep").alias("v")), ["u", "v"], "left_anti")
     )
-    more = keep(_links(rest, sets, percent))
+    crowd = keep(labelled.join(mixed.where(F.col("size") > SMALL_BUCKET).select("bucket", "low"), "bucket").select("rep", "n", "component", "low"))
+    more = keep(_links(pairs, sets, percent).union(_crowded_links(crowd, sets, percent)))
     if not more.isEmpty():
         found = components(links.union(more))
 
@@ -229,5 +311,25 @@ def near_duplicates(
     )
 
 
+def _crowded_links(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of ``crowd(rep, n, component, low)``: members of crowded buckets, each with its bucket's first.
+
+    Buckets that share members form a cluster.  A cluster is dealt into blocks,
+    and one task compares two blocks and returns confirmed links only.
+    """
+    cluster = components(crowd.select(F.col("rep").alias("u"), F.col("low").alias("v"))).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    placed = crowd.select("rep", "n", "component").distinct().join(cluster, "rep")
+    blocks_of = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("long")
+    sized = placed.groupBy("cluster").agg(blocks_of.alias("blocks"))
+    dealt = (
+        placed.join(sized, "cluster")
+        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        .withColumn("against", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("cluster", "rep", "component", "block", F.least("block", "against").alias("i"), F.greatest("block", "against").alias("j"))
+    )
+    met = dealt.join(sets.select("rep", "shingles"), "rep").groupBy("cluster", "i", "j")
+    return met.applyInArrow(_block_links(percent), "u long, v long")
+
+
 def _sizes_allow(a: str, b: str, percent: int):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
