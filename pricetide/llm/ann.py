@@ -223,9 +223,9 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, mass: float = PROBE_
 
     row_blocks = of([max(1, -(-n // BLOCK)) for n in held])
     query_blocks = of([max(1, -(-n // QUERY_BLOCK)) for n in arriving])
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    dealt = placed.withColumn("rb", F.pmod(F.xxhash64("vec_id"), row_blocks)).withColumn("qb", every(query_blocks).cast("long"))
-    dealt_asks = asks.withColumn("qb", F.pmod(F.xxhash64("vec_id"), query_blocks)).withColumn("rb", every(row_blocks).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    dealt = placed.withColumn("rb", F.pmod(F.xxhash64("vec_id"), row_blocks)).withColumn("qb", every(query_blocks))
+    dealt_asks = asks.withColumn("qb", F.pmod(F.xxhash64("vec_id"), query_blocks)).withColumn("rb", every(row_blocks))
     key = ["part", "rb", "qb"]
     met = dealt.groupBy(*key).cogroup(dealt_asks.groupBy(*key)).applyInArrow(_nearest(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

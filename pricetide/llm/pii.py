@@ -17,7 +17,7 @@ definitions below (``MAX_COMBINATIONS``) and not by the data.
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,6 +105,10 @@ def _counts(kind: str, hit: Column) -> Column:
     return number.between(9, 15) if kind == "phone" else F.lit(True)
 
 
+def _is_base(kind: str, s: Column) -> Column:
+    return _counts(kind, s["hit"])
+
+
 def _all_matches(text: Column) -> Column:
     """One struct with an array of matches per kind; base matches that do not count are still in."""
     each = [_matches(text, BASE[k], NEEDS[k]).alias(k) for k in BASE] + [_matches(text, p, p).alias(k) for k, p in PROPOSED.items()]
@@ -168,7 +172,7 @@ def fit(docs: DataFrame) -> dict[str, dict[str, float]]:
     """Log-odds of personal data, for each feature and value, from the texts of all rows; ``{"": {"": prior}}`` besides."""
     found = docs.select(_all_matches(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("m"))
     described = found.select(
-        F.explode(F.concat(*(F.transform(f"m.{k}", lambda s, k=k: _described(k, s)) for k in KINDS))).alias("d")
+        F.explode(F.concat(*(F.transform(f"m.{k}", partial(_described, k)) for k in KINDS))).alias("d")
     )
     counted = described.select("d.*").groupBy(*LABELERS, *FEATURES).count().collect()  # at most MAX_COMBINATIONS rows
     counted.sort(key=lambda r: tuple(map(str, r)))
@@ -213,8 +217,8 @@ def find(docs: DataFrame, model: dict[str, dict[str, float]]) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     carried = [F.col(f"`{c}`") for c in docs.columns if c != "found"]
     matched = docs.select(*carried, _all_matches(text).alias("found"))
-    base = [F.filter(F.col("found")[k], lambda s, k=k: _counts(k, s["hit"])).alias(k) for k in BASE]
-    sure = [F.filter(F.col("found")[k], lambda s, k=k: _is_sure(model, k, s)).alias(k) for k in PROPOSED]
+    base = [F.filter(F.col("found")[k], partial(_is_base, k)).alias(k) for k in BASE]
+    sure = [F.filter(F.col("found")[k], partial(_is_sure, model, k)).alias(k) for k in PROPOSED]
     checked = matched.select(*carried, F.struct(*base, *sure).alias("found"))
 
     def spans(kind: str) -> Column:
