@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetide import vocab
 from pricetide.functions.titles import literal_contains
 from pricetide.operators.history import latest_and_previous, real_move, with_buyable, with_change
 from pricetide.tables import LISTING_KEY, PriceTables
@@ -48,8 +47,8 @@ class ListingQuery:
 
     @property
     def page(self) -> tuple[int, int]:
-        """(limit, offset), clamped."""
-        return max(1, min(self.limit, vocab.PAGE_LIMIT_MAX)), max(0, self.offset)
+        """(limit, offset) as asked for; at least one row, from the first one on."""
+        return max(1, self.limit), max(0, self.offset)
 
 
 def filter_terms(query: ListingQuery) -> dict[str, Column]:
@@ -167,10 +166,5 @@ def listings_page(t: PriceTables, query: ListingQuery = ListingQuery()) -> DataF
 
 
 def game_offers(t: PriceTables, game: str, platform: str, query: ListingQuery = ListingQuery()) -> DataFrame:
-    """The offers behind one product row, cheapest first."""
-    from dataclasses import replace
-
-    chosen = replace(
-        query, game=game, platform=platform, sort="price", direction="asc", limit=vocab.OFFERS_LIMIT, offset=0
-    )
-    return listings_page(t, chosen)
+    """A page of the offers behind one product row, cheapest first; limit and offset are the query's."""
+    return listings_page(t, replace(query, game=game, platform=platform, sort="price", direction="asc"))

@@ -26,15 +26,28 @@ SELECT store_id, sku, CAST(floor(sku / 250) AS BIGINT) AS page, raw_title, regio
     AS typed_sku,
   CASE WHEN sku % 29 = 0 THEN '' WHEN sku % 28 = 0 THEN 'ask' ELSE concat('Rs. ', CAST(900 + sku % 5000 AS STRING), '.50') END
     AS price_text,
+  CASE WHEN sku % 37 = 0 THEN '-500' WHEN sku % 41 = 0 THEN '1.25e3' WHEN sku % 43 = 0 THEN '7' END AS price_json,
+  CASE WHEN sku % 37 = 0 THEN -500e0 WHEN sku % 41 = 0 THEN 1250e0 WHEN sku % 43 = 0 THEN 7e0 END AS price_number,
   CAST(90000 + sku % 500000 AS BIGINT) AS minor_price, CASE WHEN sku % 5 = 4 THEN NULL ELSE sku % 4 END AS minor_unit,
   CASE WHEN sku % 6 = 0 THEN FALSE WHEN sku % 6 = 1 THEN NULL ELSE TRUE END AS available, image_url
 FROM {listing}"""
 
 
-def _bodies(rows: DataFrame, item, wrap) -> DataFrame:
-    """One JSON body per store and page, its products in order of their number."""
+#: What real feeds hold between their products.
+JUNK = ['"junk"', "17", "null", '["nested"]', "true"]
+
+
+def _bodies(rows: DataFrame, item, before: str, after: str) -> DataFrame:
+    """One JSON body per store and page: junk, then its products in order of their number."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("sku", item.alias("item")))), lambda s: s["item"])
-    return rows.groupBy("store_id", "page").agg(F.to_json(wrap(listed)).alias("body"))
+    every = F.concat(F.array(*map(F.lit, JUNK)), listed)
+    body = F.concat(F.lit(before + "["), F.array_join(every, ","), F.lit("]" + after))
+    return rows.groupBy("store_id", "page").agg(body.alias("body"))
+
+
+def _with_number(json, field: str, number):
+    """The JSON of an item with a text field turned into a number where there is one."""
+    return F.when(number.isNotNull(), F.regexp_replace(json, F.lit(f'"{field}":"[^"]*"'), F.concat(F.lit(f'"{field}":'), number))).otherwise(json)
 
 
 def _shopify_payloads(b: Bound) -> DataFrame:
@@ -51,14 +64,16 @@ def _shopify_payloads(b: Bound) -> DataFrame:
         F.when(F.expr("sku % 31 <> 0"), F.array(variant, other)).otherwise(F.array().cast("array<struct<sku:string,price:string,available:boolean,id:int>>")).alias("variants"),
         F.when(F.col("image_url").isNotNull(), F.array(F.struct(F.col("image_url").alias("src")))).alias("images"),
     )
-    return _bodies(b.product, item, lambda items: F.struct(items.alias("products")))
+    priced = F.regexp_replace(F.to_json(item), '"price":"1"', '"price":1')  # the other variant's is always a number
+    return _bodies(b.product, _with_number(priced, "price", F.col("price_json")), '{"products":', "}")
 
 
 _SHOPIFY_CONTEXT = """concat(raw_title, ' ', COALESCE(product_type, ''), ' ', CASE WHEN sku % 2 = 0 THEN concat(tag, ' sale') ELSE '' END)"""
 DERIVED["shopify_seen"] = sql.classify(
     f"""(SELECT p.store_id, p.page, p.sku AS id, p.raw_title, p.image_url, {_SHOPIFY_CONTEXT} AS context, s.platform_hint AS hint,
-  s.currency, s.base_url, CASE WHEN p.sku % 31 <> 0 THEN p.price_text END AS raw_price,
-  CASE WHEN p.sku % 31 <> 0 THEN {sql.parse_price('p.price_text')} END AS native_price, COALESCE(p.available, TRUE) AS in_stock,
+  s.currency, s.base_url, CASE WHEN p.sku % 31 <> 0 THEN COALESCE(p.price_json, p.price_text) END AS raw_price,
+  CASE WHEN p.sku % 31 <> 0 THEN COALESCE(p.price_number, {sql.parse_price('p.price_text')}) END AS native_price,
+  COALESCE(p.available, TRUE) AS in_stock,
   COALESCE(NULLIF(trim(CASE WHEN p.sku % 31 <> 0 THEN p.typed_sku END), ''), CAST(p.sku AS STRING)) AS sku
   FROM {{product}} p JOIN {{store}} s ON p.store_id = s.store_id) t""",
     "context", "hint", "raw_title",
@@ -117,14 +132,15 @@ def _woo_payloads(b: Bound) -> DataFrame:
             F.col("minor_unit").cast("int").alias("currency_minor_unit"),
         ).alias("prices"),
     )
-    return _bodies(b.product, item, lambda items: items)
+    unit_as_text = F.regexp_replace(F.to_json(item), r'"currency_minor_unit":(\d)', '"currency_minor_unit":"$1"')
+    return _bodies(b.product, F.when(F.expr("sku % 47 = 0"), unit_as_text).otherwise(F.to_json(item)), "", "")
 
 
 DERIVED["woo_seen"] = sql.classify(
     """(SELECT p.store_id, p.page, p.sku AS id, p.raw_title, p.image_url, concat(p.raw_title, ' ', COALESCE(p.product_type, ''), ' ', p.tag)
   AS context, s.platform_hint AS hint, CASE WHEN p.sku % 7 = 0 THEN 'AUD' ELSE s.currency END AS currency,
   CASE WHEN p.sku % 31 <> 0 THEN CAST(p.minor_price AS STRING) END AS raw_price,
-  CASE WHEN p.sku % 31 <> 0 THEN CAST(p.minor_price AS DOUBLE) / power(10e0, COALESCE(p.minor_unit, 2)) END AS native_price,
+  CASE WHEN p.sku % 31 <> 0 THEN CAST(p.minor_price AS DOUBLE) / power(10e0, CASE WHEN p.sku % 47 = 0 THEN 2 ELSE COALESCE(p.minor_unit, 2) END) END AS native_price,
   COALESCE(p.available, TRUE) AS in_stock, COALESCE(NULLIF(trim(p.typed_sku), ''), CAST(p.sku AS STRING)) AS sku
   FROM {product} p JOIN {store} s ON p.store_id = s.store_id) t""",
     "context", "hint", "raw_title",
@@ -141,6 +157,8 @@ _CATEGORY = "CASE WHEN sku % 7 = 0 THEN 'Toys' ELSE ' GAMES' END"
 _BOXED = "CASE WHEN sku % 3 = 0 THEN 'Open Boxed' ELSE 'sealed' END"
 _STOCK_TEXT = "CASE sku % 4 WHEN 0 THEN 'SOLD OUT' WHEN 1 THEN 'Currently out of stock' ELSE 'In stock' END"
 _QUANTITY = "CASE WHEN sku % 6 = 2 THEN 0e0 WHEN sku % 6 = 3 THEN 4e0 END"
+#: A quantity given as text says nothing.
+_COUNTED = f"CASE WHEN sku % 47 <> 0 THEN {_QUANTITY} END"
 
 
 def _custom_payloads(b: Bound) -> DataFrame:
@@ -158,13 +176,15 @@ def _custom_payloads(b: Bound) -> DataFrame:
         F.col("image_url").alias("imgUrl"),
         F.lit("https://cdn.example/x.png").alias("img"),
     )
-    return _bodies(b.product, item, lambda items: F.struct(F.lit(True).alias("success"), items.alias("data")))
+    as_text = F.regexp_replace(F.to_json(item), r'"stockQuantity":([0-9.]+)', '"stockQuantity":"$1"')
+    json = F.when(F.expr("sku % 47 = 0"), as_text).otherwise(F.to_json(item))
+    return _bodies(b.product, _with_number(json, "price", F.col("price_json")), '{"success":true,"data":', "}")
 
 
 DERIVED["custom_seen"] = sql.classify(
-    f"""(SELECT p.*, s.currency, s.base_url, {sql.parse_price('p.price_text')} AS native_price,
+    f"""(SELECT p.*, s.currency, s.base_url, COALESCE(p.price_number, {sql.parse_price('p.price_text')}) AS native_price,
   concat('  ', raw_title, ' ', {_CATEGORY}, ' Shop  ', {_CODE}, ' ', {_BOXED}) AS context
-  FROM {{product}} p JOIN {{store}} s ON p.store_id = s.store_id WHERE sku % 7 <> 0 AND sku % 5 <> 1 AND sku <> -1) t""",
+  FROM {{product}} p JOIN {{store}} s ON p.store_id = s.store_id WHERE sku % 7 <> 0 AND sku % 5 <> 1) t""",
     "context", "NULL", "raw_title",
 )
 
@@ -173,15 +193,24 @@ DERIVED["custom_seen"] = sql.classify(
 SELECT store_id, CAST(sku AS STRING) AS sku, concat(base_url, '/product/', regexp_replace(left(regexp_replace(regexp_replace(
     lower(raw_title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 100), '-+$', ''), '-', CAST(sku AS STRING)) AS url,
   raw_title AS title, currency AS native_currency, native_price,
-  sku % 4 >= 2 AND COALESCE({_QUANTITY} > 0, TRUE) AS in_stock, CASE WHEN sku % 5 = 0 THEN 'SWITCH2' ELSE 'SWITCH' END AS platform,
+  sku % 4 NOT IN (0, 1) AND COALESCE({_COUNTED} > 0, TRUE) AS in_stock, CASE WHEN sku % 5 = 0 THEN 'SWITCH2' ELSE 'SWITCH' END AS platform,
   {sql.infer_region('raw_title', "'IN'")} AS region,
   {sql.infer_condition(f"concat(raw_title, ' ', CASE WHEN sku % 3 = 0 THEN 'Open Box' ELSE 'sealed' END)")} AS condition,
   CASE WHEN image_url IS NULL THEN 'https://cdn.example/x.png' ELSE concat(base_url, image_url) END AS image_url
 FROM {{custom_seen}} WHERE kind = 'GAME' AND native_price > 0 AND sku % 17 <> 0""")
 def src_custom_feed(b):
-    real = b.product.where("sku <> -1")
-    payloads = _custom_payloads(b).join(real.select("store_id", "page").distinct(), ["store_id", "page"], "left_semi")
-    return feeds.custom_listings(payloads, b.store)
+    return feeds.custom_listings(_custom_payloads(b), b.store)
+
+
+@query("rejected_elements", """
+SELECT store_id, page, CAST(position AS INTEGER) AS position, 'no object' AS reason
+FROM (SELECT DISTINCT store_id, page FROM {product}) p, (SELECT unnest(range(5)) AS position) j
+UNION ALL SELECT store_id, -7, NULL, CASE store_id % 3 WHEN 0 THEN 'no JSON' WHEN 1 THEN 'refused' ELSE 'no product list' END FROM {store}""")
+def rejected_elements(b):
+    """The junk of each page, and one page per shop that is no feed at all."""
+    bad = F.when(F.expr("store_id % 3 = 0"), "{oops").when(F.expr("store_id % 3 = 1"), '{"success":false,"data":[]}').otherwise('{"success":true}')
+    broken = b.store.select("store_id", F.lit(-7).cast("bigint").alias("page"), bad.alias("body"))
+    return feeds.rejected_elements(_custom_payloads(b).unionByName(broken), feeds.CUSTOM)
 
 
 # ---- pages: JSON-LD on every third, hydration state on every third, cards on all ----------------

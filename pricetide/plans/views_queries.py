@@ -145,7 +145,7 @@ _REAL = """previous_price <> 0 AND inr_price <> previous_price
 #: name -> (query, SQL filter, SQL order, limit, offset); registered as listings_page_<name>.
 PAGES = {
     "": (ListingQuery(), "TRUE", "inr_price NULLS FIRST", 100, 0),
-    "_price_desc": (ListingQuery(direction="desc", limit=9000, offset=-5), "TRUE", "inr_price DESC NULLS LAST", 500, 0),
+    "_price_desc": (ListingQuery(direction="desc", limit=9000, offset=-5), "TRUE", "inr_price DESC NULLS LAST", 9000, 0),
     "_title": (
         ListingQuery(sort="title", in_stock_only=True, offset=30, limit=50), "buyable", "raw_title", 50, 30,
     ),
@@ -285,6 +285,14 @@ def game_offers(b):
     return listings.game_offers(b.tables, game, "SWITCH")
 
 
+@query("game_offers_page", f"""
+SELECT {_PAGE} FROM {{offer}} WHERE game = (SELECT MAX(game) FROM {{listing}} WHERE platform = 'SWITCH') AND platform = 'SWITCH'
+ORDER BY inr_price NULLS FIRST, store_id, sku LIMIT 500 OFFSET 1""")
+def game_offers_page(b):
+    game = b.listing.where("platform = 'SWITCH'").agg(F.max("game")).first()[0]
+    return listings.game_offers(b.tables, game, "SWITCH", ListingQuery(limit=500, offset=1))
+
+
 def _facet_sql(where: str, own: dict[str, str] | None = None, source: str = "listing") -> str:
     parts = []
     for name, column in facets.FACETS.items():

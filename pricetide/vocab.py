@@ -31,8 +31,6 @@ HOME_CURRENCY = "INR"
 FX_CLUSTER_THRESHOLD = 8
 MIN_CHANGE_PCT = 1.0
 OUT_OF_STOCK_RANK = 1e9
-PAGE_LIMIT_MAX = 500
-OFFERS_LIMIT = 100
 GAME_PRICE_FLOOR = 299
 GAME_PRICE_CEILING = 12_000
 UNPRODUCTIVE_RATIO = 0.15
@@ -42,10 +40,7 @@ COLLAPSE_RATIO = 0.75
 STEEP_PRICE = 500_000
 DUPLICATE_RATE_WARNING = 0.4
 SUSPICIOUS_CATEGORY_MAX = 1
-SKU_MAX_LENGTH = 120
 SLUG_MAX_LENGTH = 100
-STATE_MAX_DEPTH = 12
-WATCHLIST_MAX_ITEMS = 500
 
 # ---- fixed values: prices ---------------------------------------------------
 
@@ -175,35 +170,28 @@ NOISE = (
 )
 BRACKET = r"[(\[]([^)\]]*)[)\]]"
 WHOLE_NOTE = r"^\s*(incl(udes?|uding)?|inkl)\b(?!\s+only\b)|\bcover\b"
-BRACKET_NOTES = tuple(
-    """
-    asia asian japan japanese jp jpn us usa na eu europe
-    european uk korea korean mde english eng en chinese chs cht
-    zh french multi language languages version ver import imported
-    region free pal ntsc no tbd dates replen normal cib nla
-    pegi at uae pre order preorder best price exclusive video
-    australia subs subtitle subtitles
-    """.split()
-)
+BRACKET_NOTES = (
+    "asia", "asian", "japan", "japanese", "jp", "jpn", "us", "usa", "na", "eu", "europe", "european", "uk", "korea",
+    "korean", "mde", "english", "eng", "en", "chinese", "chs", "cht", "zh", "french", "multi", "language",
+    "languages", "version", "ver", "import", "imported", "region", "free", "pal", "ntsc", "no", "tbd", "dates",
+    "replen", "normal", "cib", "nla", "pegi", "at", "uae", "pre", "order", "preorder", "best", "price", "exclusive",
+    "video", "australia", "subs", "subtitle", "subtitles",
+)
 
 # ---- fixed values: grouping keys ---------------------------------------------
 
-STOPWORDS = tuple(
-    """
-    the of and for nintendo asia asian english chinese japanese eng version
-    multi language pal ntsc cd tbd nla videogioco nintedo ninteno nnintendo
-    lite oled subtitle
-    """.split()
-)
-VARIANT_WORDS = tuple(
-    """
-    deluxe definitive complete collector collectors limited special gold
-    ultimate goty year anniversary bundle pack twin steelbook amiibo
-    dlc season pass expansion royal remaster remastered hd trilogy
-    collection directors cut plus launch chapter part episode volume
-    vol ii iii iv v vi vii viii ix x xi xii
-    """.split()
-)
+STOPWORDS = (
+    "the", "of", "and", "for", "nintendo", "asia", "asian", "english", "chinese", "japanese", "eng", "version",
+    "multi", "language", "pal", "ntsc", "cd", "tbd", "nla", "videogioco", "nintedo", "ninteno", "nnintendo", "lite",
+    "oled", "subtitle",
+)
+VARIANT_WORDS = (
+    "deluxe", "definitive", "complete", "collector", "collectors", "limited", "special", "gold", "ultimate", "goty",
+    "year", "anniversary", "bundle", "pack", "twin", "steelbook", "amiibo", "dlc", "season", "pass", "expansion",
+    "royal", "remaster", "remastered", "hd", "trilogy", "collection", "directors", "cut", "plus", "launch",
+    "chapter", "part", "episode", "volume", "vol", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi",
+    "xii",
+)
 EDITION = r"\bedition\b"
 #: Dropped from the front of a key when at least two words remain.
 PUBLISHER_PREFIXES = (
