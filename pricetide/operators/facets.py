@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.operators.common import count_where
@@ -32,9 +32,23 @@ def _exploded(listing: DataFrame, flags: dict[str, object]) -> DataFrame:
     ).select("f.*")
 
 
+def _named(counts: DataFrame, t: PriceTables) -> DataFrame:
+    """With ``label``, what a value is called: a store by its name, others by themselves."""
+    names = t.store.select(F.col("store_id").cast("string").alias("value"), F.lit("stores").alias("facet"), F.col("name").alias("label"))
+    return counts.join(names, ["facet", "value"], "left").select(
+        "facet", "value", F.coalesce("label", "value").alias("label"), "n"
+    )
+
+
+def facet_order() -> list[Column]:
+    """Stores by name, the values of other facets by count."""
+    store = F.col("facet") == "stores"
+    return [F.asc("facet"), F.when(store, F.col("label")), F.desc(F.when(~store, F.col("n"))), F.asc("value")]
+
+
 def facets(t: PriceTables) -> DataFrame:
     """Listings per store, platform, region and condition, priced or not."""
-    return _exploded(t.listing, {}).groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
+    return _named(_exploded(t.listing, {}).groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n")), t)
 
 
 def facet_left_join(t: PriceTables) -> DataFrame:
@@ -63,8 +77,4 @@ def facets_self_excluding(t: PriceTables, query: ListingQuery) -> DataFrame:
         source = facet_left_join(t)
     else:
         source = t.listing.join(t.store.select("store_id", "ships_from_abroad"), "store_id")
-    return (
-        _exploded(source, flags)
-        .groupBy("facet", "value")
-        .agg(count_where(F.col("counted")).alias("n"))
-    )
+    return _named(_exploded(source, flags).groupBy("facet", "value").agg(count_where(F.col("counted")).alias("n")), t)

@@ -22,6 +22,11 @@ def nth_latest(points: DataFrame, n: int = 1, order: Sequence[str] = POINT_ORDER
     return top_rows(points, LISTING_KEY, newest(order), n).where(F.col("rn") == n).drop("rn")
 
 
+def two_newest(points: DataFrame, order: Sequence[str] = POINT_ORDER) -> DataFrame:
+    """The state that reads of today's prices need: the two newest points of each listing, as they are."""
+    return top_rows(points, LISTING_KEY, newest(order), 2).drop("rn")
+
+
 def latest_and_previous(points: DataFrame, order: Sequence[str] = POINT_ORDER) -> DataFrame:
     """The latest point of each listing with the one before it in ``previous`` (NULL if none)."""
     rest = [c for c in points.columns if c not in LISTING_KEY]
@@ -71,10 +76,10 @@ def raw_change() -> Column:
 def price_history(
     points: DataFrame, store_id: object = None, sku: object = None, order: Sequence[str] = POINT_ORDER
 ) -> DataFrame:
-    """Price series, oldest first: one listing's, or every listing's when none is named."""
+    """One listing's price series, oldest first; every listing's, in no order, when none is named."""
     columns = ["captured_at", "inr_price", "native_price", "native_currency", "in_stock", "fx_rate_date"]
     if store_id is None:
-        return points.orderBy(*LISTING_KEY, *order).select(*LISTING_KEY, *columns)
+        return points.select(*LISTING_KEY, *columns)
     chosen = points.where((F.col("store_id") == store_id) & (F.col("sku") == sku))
     return chosen.orderBy(*order).select(*columns)
 
@@ -82,8 +87,8 @@ def price_history(
 def history_stats(points: DataFrame, order: Sequence[str] = POINT_ORDER) -> DataFrame:
     """Now, lowest and highest price with their dates, number of priced points, since when.
 
-    Equal prices keep the earliest date.  One hash of partial aggregates per
-    listing; no series is gathered.
+    Equal prices keep the earliest date.  Partial aggregates per listing; no
+    series is gathered.
     """
     price, at = F.col("inr_price"), F.col("captured_at")
     position = F.struct(*order)

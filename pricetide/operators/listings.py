@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,7 +122,7 @@ def priced_listings(t: PriceTables, how: str = "inner") -> DataFrame:
 
     ``how="left"`` keeps unpriced listings, which are then not buyable.
     """
-    latest = with_change(with_buyable(latest_and_previous(t.price_point), t.run_store))
+    latest = with_change(with_buyable(latest_and_previous(t.recent), t.run_store))
     shop = t.store.select("store_id", F.col("name").alias("store"), "ships_from_abroad")
     return (
         t.listing.join(shop, "store_id")
@@ -136,10 +137,25 @@ def matching_listings(t: PriceTables, query: ListingQuery) -> DataFrame:
     Sorting by change is a view of real movers, so it filters too, before any
     count or limit.
     """
-    df = priced_listings(t).where(listing_filter(query))
+    df = priced_listings(narrowed(t, query)).where(listing_filter(query))
     return df.where(real_move()) if query.sort == "change" else df
 
 
+def narrowed(t: PriceTables, query: ListingQuery) -> PriceTables:
+    """The tables without listings that the query's filters on listings and shops rule out, and without their points.
+
+    What needs no price is decided before the history is ranked.
+    """
+    terms = {name: term for name, term in filter_terms(query).items() if name not in ("in_stock_only", "domestic_only")}
+    if not terms and not query.domestic_only:
+        return t
+    listing = reduce(DataFrame.where, terms.values(), t.listing)
+    if query.domestic_only:
+        listing = domestic_only(listing, t.store)
+    points = t.recent.join(listing.select(*LISTING_KEY), LISTING_KEY, "left_semi")
+    return t.with_(listing=listing, latest=points)
+
+
 def listings_total(t: PriceTables, query: ListingQuery) -> DataFrame:
     return matching_listings(t, query).agg(F.count(F.lit(1)).alias("total"))
 

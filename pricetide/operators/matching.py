@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pricetide.functions.platforms import named_platform
 from pricetide.functions.titles import confirmed_prefix_rest, variant_word, with_match_key, word_set
 from pricetide.operators.common import first_row, top_rows
-from pricetide.session import cut_lineage
+from pricetide.session import hold
 from pricetide.tables import LISTING_KEY
 
 PAIR = ["key", "platform"]
@@ -30,11 +30,10 @@ def platform_relabel(title: Column, stored: Column) -> Column:
 
 
 def aliases_by_key(aliases: DataFrame) -> DataFrame:
-    """Alias titles as keys; empty targets are dropped, the last entry for a key wins."""
+    """Alias titles as keys; empty targets are dropped, the last entry (by ``ord``) for a key wins."""
     keyed = with_match_key(with_match_key(aliases, "from_title", "key"), "to_title", "target")
     kept = keyed.where(F.col("target") != "")
-    order = [F.desc("ord")] if "ord" in aliases.columns else [F.asc("target")]
-    return first_row(kept, ["key"], order).select("key", "target")
+    return first_row(kept, ["key"], [F.desc("ord")]).select("key", "target")
 
 
 def keyed_titles(listing: DataFrame) -> DataFrame:
@@ -95,12 +94,12 @@ def _follow(df: DataFrame, column: str, mapping: DataFrame, to: str) -> DataFram
 def key_mapping(keys: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(key, platform) to ``game`` from distinct keys with their listing counts ``n``.
 
-    The keys with their confirmed prefixes gone are written out once: every
-    later step reads them, some twice.
+    The keys with their confirmed prefixes gone are held: every later step
+    reads them, some twice.
     """
-    once = cut_lineage(_follow(keys.withColumn("game", F.col("key")), "game", confirmed_prefix_join(keys), "stripped"))
+    once = hold(_follow(keys.withColumn("game", F.col("key")), "game", confirmed_prefix_join(keys), "stripped"))
     uses = once.groupBy(F.col("game").alias("key"), "platform").agg(F.sum("n").alias("uses"))
-    canonical = cut_lineage(canonical_keys(uses))
+    canonical = hold(canonical_keys(uses))
     final = _follow(once, "game", canonical, "canonical").select(*PAIR, "game")
     if aliases is None:
         return final
@@ -115,7 +114,7 @@ def alias_join(
 
     The target joins the group its own listings ended up in.
     """
-    by_key = cut_lineage(aliases)
+    by_key = hold(aliases)
     by_raw = by_key.select("key", F.col("target").alias("_raw"))
     by_final = by_key.select(F.col("key").alias("game"), F.col("target").alias("_final"))
     targeted = (
@@ -138,15 +137,15 @@ def title_mapping(listing: DataFrame, aliases: DataFrame | None = None) -> DataF
     """Distinct (raw_title, stored_platform) to (game, platform); ``game`` NULL when it cannot be grouped.
 
     The keyed titles are the costly part (text rules) and are needed twice, so
-    they are written out.
+    they are held.
     """
-    titles = cut_lineage(keyed_titles(listing))
+    titles = hold(keyed_titles(listing))
     keys = _groupable(titles).groupBy(*PAIR).agg(F.sum("n").alias("n"))
     mapping = key_mapping(keys, aliases)
     columns = ["raw_title", "stored_platform", "platform", "game"]
     # Titles without a key share one empty key and take no part in the join.
     groupable = (F.col("key") != "") & (F.col("platform") != "UNKNOWN")
-    alone = titles.where(~groupable).withColumn("game", F.lit(None).cast("string"))
+    alone = titles.where(~F.coalesce(groupable, F.lit(False))).withColumn("game", F.lit(None).cast("string"))
     return titles.where(groupable).join(mapping, PAIR).select(*columns).unionByName(alone.select(*columns))
 
 
@@ -155,7 +154,10 @@ def assign_games(listing: DataFrame, aliases: DataFrame | None = None) -> DataFr
     kept = [c for c in listing.columns if c not in ("game", "platform")]
     stored = listing.withColumnsRenamed({"platform": "stored_platform", "game": "stored_game"})
     mapped = title_mapping(listing.select("raw_title", "platform"), aliases)
-    out = stored.join(mapped, ["raw_title", "stored_platform"])
+    # NULL-safe: a listing without title or platform stays, ungrouped
+    theirs = mapped.withColumnsRenamed({"raw_title": "_title", "stored_platform": "_platform"})
+    same = F.col("raw_title").eqNullSafe(F.col("_title")) & F.col("stored_platform").eqNullSafe(F.col("_platform"))
+    out = stored.join(theirs, same, "left").drop("_title", "_platform")
     extra = ["stored_game"] if "game" in listing.columns else []
     return out.select(*kept, "platform", "game", "stored_platform", *extra)
 
@@ -193,21 +195,14 @@ def game_redirects(assigned: DataFrame, existing: DataFrame | None = None) -> Da
 
 
 def rematch_preview(assigned: DataFrame) -> DataFrame:
-    """New groups made of more than one stored group, with how many and two of their names."""
-    before = F.struct(
-        F.coalesce("stored_game", F.lit("(ungrouped)")).alias("k"), F.col("stored_platform").alias("p")
-    )
-    return (
+    """New groups made of more than one stored group: one row per stored group, with its listings."""
+    stored = (
         assigned.where(F.col("game").isNotNull())
-        .groupBy("game", "platform")
-        .agg(
-            F.count_distinct(before).alias("merged_groups"),
-            F.min(before)["k"].alias("first_group"),
-            F.max(before)["k"].alias("last_group"),
-            F.count(F.lit(1)).alias("listings"),
-        )
-        .where("merged_groups > 1")
+        .groupBy("game", "platform", F.coalesce("stored_game", F.lit("(ungrouped)")).alias("stored_group"), "stored_platform")
+        .agg(F.count(F.lit(1)).alias("listings"))
     )
+    several = stored.groupBy("game", "platform").agg(F.count(F.lit(1)).alias("merged_groups")).where("merged_groups > 1")
+    return stored.join(several, ["game", "platform"])
 
 
 def relabelled_platforms(assigned: DataFrame) -> DataFrame:
@@ -238,17 +233,14 @@ def subset_key_join(assigned: DataFrame) -> DataFrame:
     games = assigned.where(F.col("game").isNotNull()).select("game", "platform").distinct()
     sets = games.withColumn("words", word_set(F.col("game")))
     free = F.filter("words", lambda w: ~variant_word(w))
-    extras = F.flatten(
-        F.transform(
-            free,
-            lambda a: F.concat(
-                F.array(F.array(a)),
-                F.transform(F.filter(free, lambda b: b > a), lambda b: F.array(a, b)),
-            ),
-        )
-    )
-    reduced = sets.select("game", "platform", "words", F.explode(extras).alias("extra")).withColumn(
-        "rest", F.array_except("words", "extra")
+    # one word left out, then another after it: rows, not a list of all pairs in one cell
+    one = sets.select("game", "platform", "words", free.alias("free")).withColumn("first", F.explode("free"))
+    two = one.withColumn("second", F.explode(F.filter("free", lambda w: w > F.col("first"))))
+    columns = ["game", "platform", "words"]
+    reduced = (
+        one.select(*columns, F.array("first").alias("extra"))
+        .unionByName(two.select(*columns, F.array("first", "second").alias("extra")))
+        .withColumn("rest", F.array_except("words", "extra"))
     )
     shorter = sets.where(F.size(F.split("game", " ")) >= 2).select(
         F.col("game").alias("short_key"), "platform", F.col("words").alias("rest")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricetide import vocab
 from pricetide.operators.common import count_where, last_write, top_rows
 from pricetide.operators.movers import movers
 from pricetide.tables import PriceTables
@@ -21,8 +22,10 @@ def summary(t: PriceTables) -> DataFrame:
     )
     points = t.price_point.agg(F.count(F.lit(1)).alias("points"))
     drops = movers(t).agg(count_where(F.col("is_deal")).alias("price_drops"))
-    # Three one-row frames side by side.
-    return listing.crossJoin(points).crossJoin(drops)
+    # Three one-row frames laid over one another.
+    names = [*listing.columns, *points.columns, *drops.columns]
+    rows = listing.unionByName(points, allowMissingColumns=True).unionByName(drops, allowMissingColumns=True)
+    return rows.agg(*[F.max(n).alias(n) for n in names])
 
 
 def has_ever_collected(run_store: DataFrame) -> DataFrame:
@@ -40,11 +43,13 @@ def health(t: PriceTables) -> DataFrame:
 
     Empty when the latest run was not a collection.
     """
-    latest = t.run.agg(F.max("run_id").alias("run_id"))
+    latest = t.run.agg(F.max_by(F.struct("run_id", "started_at", "finished_at"), "run_id").alias("r")).select("r.*")
     return (
-        t.run_store.join(latest, "run_id", "left_semi")
+        t.run_store.join(latest, "run_id")
         .join(t.store.select("store_id", "name", "tier"), "store_id")
-        .select("store_id", "name", "tier", "status", "listings_found", "duration_ms", "detail")
+        .select(
+            "store_id", "name", "tier", "status", "listings_found", "duration_ms", "detail", "started_at", "finished_at"
+        )
         .orderBy("tier", F.desc("listings_found"), "store_id")
     )
 
@@ -133,7 +138,7 @@ def completeness(fetches: DataFrame) -> DataFrame:
     note = F.when(
         counted & F.col("exact"), F.format_string(" (fetched %d of %d in category)", seen, claimed)
     ).when(counted, F.format_string(" (page claims about %d, %d rows seen)", claimed, seen)).otherwise("")
-    short = counted & F.when(F.col("exact"), seen < claimed).otherwise(seen < claimed * 0.9)
+    short = counted & F.when(F.col("exact"), seen < claimed).otherwise(seen < claimed * vocab.CLAIMED_TOTAL_TOLERANCE)
     status = (
         F.when(F.col("kept") == 0, "failed").when(problem | short, "partial").otherwise("ok").alias("status")
     )

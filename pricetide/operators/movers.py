@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricetide import vocab
 from pricetide.functions.prices import fixed_text
 from pricetide.operators.history import latest_and_previous, raw_change
-from pricetide.session import cut_lineage
+from pricetide.session import hold
 from pricetide.tables import LISTING_KEY, PriceTables
 
 
@@ -38,17 +38,15 @@ def fx_clusters(moved: DataFrame) -> DataFrame:
 
 
 def movers(t: PriceTables, store_id: object = None) -> DataFrame:
-    """All real price moves, biggest drop first; ``is_deal`` leaves out currency moves.
+    """All real price moves; ``is_deal`` leaves out currency moves.
 
     Cluster sizes are aggregated and joined back: a window over a currency's
     moves would put the whole currency into one task.  The moves are needed
-    for the clusters and for the rows, so they are written out once; reading
-    that table twice costs far less than ranking the history twice.  Reports
-    the raw stock flag of the latest point.
+    for the clusters and for the rows, so they are held rather than ranked
+    twice.  Reports the raw stock flag of the latest point.  In no order;
+    ``movers_page`` has one.
     """
-    moved = cut_lineage(
-        moves(t.price_point).withColumn("prev_price", F.col("previous.inr_price")).drop("previous")
-    )
+    moved = hold(moves(t.recent).withColumn("prev_price", F.col("previous.inr_price")).drop("previous"))
     suspects = fx_clusters(moved).where("fx_suspect").select("native_currency", "pct_bucket", "fx_suspect")
     listing = t.listing.select(*LISTING_KEY, "raw_title", "url", "region")
     shop = t.store.select("store_id", F.col("name").alias("store"))
@@ -74,10 +72,15 @@ def movers(t: PriceTables, store_id: object = None) -> DataFrame:
         "pct",
         "fx_suspect",
         ((F.col("pct") < 0) & ~F.col("fx_suspect")).alias("is_deal"),
-    ).orderBy("pct", *LISTING_KEY)
+    )
+
+
+def movers_page(t: PriceTables, limit: int, offset: int = 0, store_id: object = None) -> DataFrame:
+    """One page of moves, biggest drop first."""
+    return movers(t, store_id).orderBy("pct", *LISTING_KEY).offset(offset).limit(limit)
 
 
 def mover_stores(t: PriceTables) -> DataFrame:
     """The stores that have moves, by name."""
-    moved = moves(t.price_point).select("store_id").distinct()
+    moved = moves(t.recent).select("store_id").distinct()
     return t.store.join(moved, "store_id", "left_semi").select(F.col("name").alias("store")).distinct().orderBy("store")

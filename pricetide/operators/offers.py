@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide import vocab
-from pricetide.operators.listings import ListingQuery, listing_filter, priced_listings
+from pricetide.operators.listings import ListingQuery, listing_filter, narrowed, priced_listings
 from pricetide.tables import GAME_KEY, LISTING_KEY, PriceTables
 
 BEST = ["inr_price", "buyable", "url", "region", "condition", "store"]
@@ -53,7 +53,7 @@ def best_offers(offers: DataFrame) -> DataFrame:
 
 
 def games_best_offer(t: PriceTables, query: ListingQuery = ListingQuery()) -> DataFrame:
-    return best_offers(priced_listings(t).where(listing_filter(query)))
+    return best_offers(priced_listings(narrowed(t, query)).where(listing_filter(query)))
 
 
 def display_title(listing: DataFrame) -> DataFrame:

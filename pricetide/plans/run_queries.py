@@ -23,8 +23,8 @@ def has_ever_collected(b):
     return monitoring.has_ever_collected(b.run_store)
 
 
-_HEALTH = """SELECT r.store_id, s.name, s.tier, r.status, r.listings_found, r.duration_ms, r.detail
-FROM {run_store} r JOIN {store} s ON r.store_id = s.store_id WHERE r.run_id = (SELECT MAX(run_id) FROM {run})"""
+_HEALTH = """SELECT r.store_id, s.name, s.tier, r.status, r.listings_found, r.duration_ms, r.detail, u.started_at, u.finished_at
+FROM {run_store} r JOIN {store} s ON r.store_id = s.store_id JOIN {run} u ON u.run_id = r.run_id WHERE r.run_id = (SELECT MAX(run_id) FROM {run})"""
 
 
 @query("health", _HEALTH)
@@ -299,10 +299,17 @@ SELECT l.store_id, concat(p_type, '/', p_brand) AS category, CAST(l.sku AS STRIN
 FROM {listing} l JOIN {part} ON l.sku = p_partkey"""
 
 
+#: The categories each shop is configured with, some of them empty.
+VIEWS["store_category"] = """
+SELECT DISTINCT store_id, category FROM {category_product}
+UNION ALL SELECT store_id, concat('empty-', CAST(store_id % 3 AS STRING)) AS category FROM {store}"""
+
+
 @query("category_low", """
-SELECT store_id, category, COUNT(sku) AS products, COUNT(sku) <= 1 AS suspicious FROM {category_product} GROUP BY 1, 2""")
+SELECT c.store_id, c.category, COUNT(p.sku) AS products, COUNT(p.sku) <= 1 AS suspicious
+FROM {store_category} c LEFT JOIN {category_product} p ON p.store_id = c.store_id AND p.category = c.category GROUP BY 1, 2""")
 def category_low(b):
-    return audit.category_low(b.category_product)
+    return audit.category_low(b.category_product, b.store_category)
 
 
 VIEWS["fetched"] = """
@@ -356,7 +363,8 @@ def page_yield(b):
 @query("productivity_streak", """
 WITH scored AS (
   SELECT *, raw_rows > 0 AND (new_rows = 0 OR
-    new_rows / CASE WHEN kept_rows > 0 THEN kept_rows ELSE raw_rows END < 0.15e0) AS poor FROM {page_yield}),
+    new_rows / CASE WHEN kept_rows > 0 THEN kept_rows ELSE raw_rows END < 0.15e0) AS poor FROM {page_yield}
+  WHERE (store_id + walk + page) % 5 <> 0),
 streaks AS (
   SELECT *, SUM(CASE WHEN poor THEN 1 ELSE 0 END) OVER (
     PARTITION BY store_id, walk ORDER BY page ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS recent FROM scored),
@@ -368,7 +376,9 @@ SELECT store_id, walk, least(streak_page, empty_page, last_page) AS stop_page,
     WHEN streak_page = least(streak_page, empty_page, last_page) THEN 'unproductive' ELSE 'end of walk' END AS reason
 FROM ends""")
 def productivity_streak(b):
-    return dedupe.productivity_streak(dedupe.page_yield(b.walk_rows, _WALK), _WALK)
+    """Every fifth page failed to load."""
+    loaded = dedupe.page_yield(b.walk_rows, _WALK).where("(store_id + walk + page) % 5 <> 0")
+    return dedupe.productivity_streak(loaded, _WALK)
 
 
 #: Feed rows whose SKU field is typed by hand: some products share one, some come twice.

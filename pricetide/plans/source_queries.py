@@ -319,6 +319,24 @@ def layered_extract(b):
     return won.select("page_id", "store_id", "layer", "title", "price", "href", "in_stock", "context")
 
 
+DERIVED["profiled_winner"] = """
+SELECT page_id, store_id, 'json-ld' AS layer, raw_title AS title, CAST(price AS DOUBLE) AS price
+  FROM {page_product} WHERE page % 3 = 0 AND store_id % 4 <> 1
+UNION ALL SELECT page_id, store_id, 'embedded-state', raw_title, CAST(price AS DOUBLE)
+  FROM {page_product} WHERE page % 3 = 1 AND store_id % 2 = 0
+UNION ALL SELECT page_id, store_id, 'selectors', title, price FROM {card_row}
+  WHERE NOT (page % 3 = 0 AND store_id % 4 <> 1) AND NOT (page % 3 = 1 AND store_id % 2 = 0)"""
+
+
+@query("layered_extract_profiled", "SELECT page_id, store_id, layer, title, price FROM {profiled_winner}")
+def layered_extract_profiled(b):
+    said = b.store.select(
+        "store_id", F.when(F.expr("store_id % 4 IN (1, 2)"), F.expr("store_id % 4 = 1")).alias("skip_json_ld"),
+        F.expr("store_id % 2 = 0").alias("reads_state"),
+    )
+    return pages.layered_extract(_pages(b), _cards(b), said).select("page_id", "store_id", "layer", "title", "price")
+
+
 @query("extraction_funnel", "WITH game AS (" + sql.classify("(SELECT * FROM {winner}) t", "title", "NULL") + """)
 SELECT p.page_id, CASE WHEN page % 3 = 0 THEN n ELSE 0 END AS json_ld_rows, CASE WHEN page % 3 = 1 THEN n ELSE 0 END AS state_rows,
   n AS card_rows, CASE WHEN page % 3 = 0 THEN 'json-ld' WHEN page % 3 = 1 THEN 'embedded-state' ELSE 'selectors' END AS winner,
@@ -379,11 +397,13 @@ def dim_store_effective(b):
 
 @query("select_stores", """
 SELECT 'enabled' AS picked, store_id, name FROM {store} WHERE enabled
-UNION ALL SELECT 'named', store_id, name FROM {store} WHERE store_id IN (SELECT store_id FROM {correction})""")
+UNION ALL SELECT 'named', store_id, name FROM {store} WHERE store_id IN (SELECT store_id FROM {correction})
+UNION ALL SELECT 'nothing named', store_id, name FROM {store} WHERE enabled""")
 def select_stores(b):
     enabled = stores.select_stores(b.store).select(F.lit("enabled").alias("picked"), "store_id", "name")
     named = stores.select_stores(b.store, b.correction).select(F.lit("named").alias("picked"), "store_id", "name")
-    return enabled.unionByName(named)
+    nothing = stores.select_stores(b.store, b.correction.where("store_id < 0"))
+    return enabled.unionByName(named).unionByName(nothing.select(F.lit("nothing named").alias("picked"), "store_id", "name"))
 
 
 @query("select_stores_missing", """

@@ -9,7 +9,7 @@ from pricetide.operators import matching
 from pricetide.plans import text_sql as sql
 from pricetide.plans.registry import query
 from pricetide.plans.views import DERIVED, VIEWS
-from pricetide.session import cut_lineage
+from pricetide.session import hold
 
 #: Price texts in the spellings shops use, from the numbers of every line item.
 VIEWS["price_text"] = """
@@ -330,9 +330,9 @@ def src_aliases(b):
 
 
 def _base_keys(b):
-    """Distinct keys with their listing counts, written out as the whole pass does."""
+    """Distinct keys with their listing counts, held as in the whole pass."""
     keyed = matching.keyed_titles(b.listing).where("key <> '' AND platform <> 'UNKNOWN'")
-    return cut_lineage(keyed.groupBy("key", "platform").agg(F.sum("n").alias("n")))
+    return hold(keyed.groupBy("key", "platform").agg(F.sum("n").alias("n")))
 
 
 @query("confirmed_prefix_join", "SELECT key, platform, stripped FROM {stripped}")
@@ -379,10 +379,11 @@ def game_redirects(b):
 
 
 @query("rematch_preview", """
-SELECT game, platform, COUNT(DISTINCT (COALESCE(stored_game, '(ungrouped)'), stored_platform)) AS merged_groups,
-  MIN(COALESCE(stored_game, '(ungrouped)')) AS first_group, MAX(COALESCE(stored_game, '(ungrouped)')) AS last_group,
-  COUNT(*) AS listings
-FROM {assigned} WHERE game IS NOT NULL GROUP BY game, platform HAVING merged_groups > 1""")
+SELECT game, platform, stored_group, stored_platform, listings, merged_groups FROM (
+  SELECT *, COUNT(*) OVER (PARTITION BY game, platform) AS merged_groups FROM (
+    SELECT game, platform, COALESCE(stored_game, '(ungrouped)') AS stored_group, stored_platform, COUNT(*) AS listings
+    FROM {assigned} WHERE game IS NOT NULL GROUP BY 1, 2, 3, 4) s) m
+WHERE merged_groups > 1""")
 def rematch_preview(b):
     return matching.rematch_preview(_assigned(b))
 

@@ -120,10 +120,14 @@ def movers_(b):
     return movers.movers(b.tables)
 
 
-@query("mover_store_filter", _MOVER + " WHERE store_id = (SELECT MIN(store_id) FROM {mover})")
+@query("mover_store_filter", _MOVER + " WHERE store_id = 3")
 def mover_store_filter(b):
-    first = movers.moves(b.price_point).agg(F.min("store_id")).first()[0]
-    return movers.movers(b.tables, store_id=first)
+    return movers.movers(b.tables, store_id=3)
+
+
+@query("movers_page", _MOVER + " ORDER BY pct, store_id, sku LIMIT 700 OFFSET 2")
+def movers_page(b):
+    return movers.movers_page(b.tables, 700, 2)
 
 
 @query("mover_stores", "SELECT DISTINCT store FROM {mover}")
@@ -176,6 +180,22 @@ def _register_pages() -> None:
 _register_pages()
 
 
+def _kept(b):
+    """The tables with the two newest points of each listing beside the history."""
+    return b.tables.with_(latest=history.two_newest(b.price_point))
+
+
+@query("listings_page_kept", f"SELECT {_PAGE} FROM {{offer}} WHERE buyable ORDER BY captured_at DESC, store_id, sku LIMIT 250 OFFSET 5")
+def listings_page_kept(b):
+    q = ListingQuery(sort="seen", direction="desc", in_stock_only=True, limit=250, offset=5)
+    return listings.listings_page(_kept(b), q)
+
+
+@query("movers_kept", _MOVER)
+def movers_kept(b):
+    return movers.movers(_kept(b))
+
+
 @query("listings_total", f"SELECT COUNT(*) AS total FROM {{offer}} WHERE buyable AND {_REAL}")
 def listings_total(b):
     return listings.listings_total(b.tables, ListingQuery(sort="change", in_stock_only=True))
@@ -301,7 +321,10 @@ def _facet_sql(where: str, own: dict[str, str] | None = None, source: str = "lis
             f"SELECT '{name}' AS facet, CAST({column} AS STRING) AS value, "
             f"COUNT(*) FILTER (WHERE COALESCE({condition}, FALSE)) AS n FROM {{{source}}} GROUP BY 2"
         )
-    return " UNION ALL ".join(parts)
+    return (
+        "SELECT facet, value, COALESCE(CASE WHEN facet = 'stores' THEN s.name END, value) AS label, n "
+        f"FROM ({' UNION ALL '.join(parts)}) f LEFT JOIN {{store}} s ON CAST(s.store_id AS STRING) = f.value"
+    )
 
 
 @query("facets", _facet_sql("TRUE"))

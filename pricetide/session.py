@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the operators rely on.  Naive timestamps are UTC; skewed join
@@ -21,7 +22,7 @@ SQL_SETTINGS = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply ``SQL_SETTINGS`` to a session somebody else created."""
+    """Apply ``SQL_SETTINGS`` to a session somebody else created; they hold for its later queries, too."""
     for name, value in SQL_SETTINGS.items():
         if spark.conf.get(name, None) != value:
             spark.conf.set(name, value)
@@ -32,39 +33,61 @@ def build_session(name: str = "pricetide", master: str | None = None, **conf: st
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SQL_SETTINGS, **conf}.items():
+    for key, value in {**SQL_SETTINGS, "spark.cleaner.referenceTracking.cleanCheckpoints": "true", **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` decides.  Only a local session that names none
-    gets a temporary folder; a cluster that names none is an error, since a
-    machine-local folder would be lost with its machine.
+    Only a local session that names none gets a temporary folder, which goes
+    when the program ends; a cluster that names none is an error, since a
+    machine-local folder would be lost with its machine.  No setting is changed.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="pricetide-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    if not _own:
+        _own.append(tempfile.TemporaryDirectory(prefix="pricetide-"))
+    return _own[0].name
+
+
+_own: list[tempfile.TemporaryDirectory] = []
+_held: list[DataFrame] = []
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the shared one, for streaming state and written tables."""
+    """A fresh folder under the shared one, for streaming state and landed tables."""
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a small intermediate table to the shared folder and go on from there.
+def hold(df: DataFrame) -> DataFrame:
+    """Mark a table that several steps of one plan read, so that it is computed once.
+
+    Nothing runs until the plan does.  A lost executor's share is computed
+    again.  ``release`` gives the space back.
+    """
+    _held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
+def release() -> None:
+    """Let go of every table held so far."""
+    while _held:
+        _held.pop().unpersist()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute one round of an iteration now, into the shared folder, and go on from there.
 
-    The plan starts afresh, with real sizes for the optimizer, and the rows
-    survive the loss of any executor.
+    Spark's own checkpoint: its files go with the table that refers to them
+    when ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on, as
+    ``build_session`` has it.
     """
-    path = work_dir(df.sparkSession, "stage")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint(eager=True)

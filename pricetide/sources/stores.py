@@ -32,12 +32,20 @@ def effective_stores(shipped: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def select_stores(stores: DataFrame, only: DataFrame | Sequence | None = None) -> DataFrame:
-    """The stores of a run: all enabled ones, or exactly the named ones, enabled or not."""
-    if only is None:
+    """The stores of a run: exactly the named ones, enabled or not; all enabled ones when none is named."""
+    if only is None or (not isinstance(only, DataFrame) and not only):
         return stores.where("enabled")
-    if isinstance(only, DataFrame):
-        return stores.join(only.select("store_id"), "store_id", "left_semi")
-    return stores.where(F.col("store_id").isin(*only))
+    if not isinstance(only, DataFrame):
+        return stores.where(F.col("store_id").isin(*only))
+    # whether anything is named is known when the plan runs: one row, compared as a value
+    named = only.select("store_id").distinct().withColumn("_named", F.lit(True))
+    some = only.agg((F.count(F.lit(1)) > 0).alias("_some"))
+    marked = stores.join(named, "store_id", "left").withColumn("_one", F.lit(1))
+    return (
+        marked.join(some.withColumn("_one", F.lit(1)), "_one")
+        .where(F.when(F.col("_some"), F.coalesce("_named", F.lit(False))).otherwise(F.col("enabled")))
+        .select(*stores.columns)
+    )
 
 
 def missing_stores(stores: DataFrame, only: DataFrame) -> DataFrame:

@@ -23,7 +23,10 @@ class PriceTables:
     """DataFrames under their logical names; see README for the columns.
 
     ``listing.game`` is the product key a listing is grouped under, NULL while
-    it is ungrouped.
+    it is ungrouped.  ``latest`` is optional: the two newest points of each
+    listing, as ``history.two_newest`` and the streaming job keep them.  Where
+    it is given, what is known today is read from there, and the history is
+    not ranked again.
     """
 
     store: DataFrame | None = None
@@ -36,6 +39,12 @@ class PriceTables:
     watchlist: DataFrame | None = None
     aliases: DataFrame | None = None
     redirect: DataFrame | None = None
+    latest: DataFrame | None = None
+
+    @property
+    def recent(self) -> DataFrame:
+        """Points among which the two newest of every listing are for certain."""
+        return self.price_point if self.latest is None else self.latest
 
     def with_(self, **changes: DataFrame) -> PriceTables:
         unknown = set(changes) - {f.name for f in fields(self)}
