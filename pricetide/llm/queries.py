@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import ann, bpe, langid, licenses, neardup, packing, pii, quality, topk, urlfilter
+from pricetide.llm import ann, bpe, langid, licenses, neardup, packing, pii, quality, sql, topk, urlfilter
 from pricetide.llm.common import in_fold, table
 
 #: The rules that ``op6_url_filters`` applies: host, beginning of the path, verdict.
@@ -91,4 +91,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_url_filters": sql.url_filters(RULES), "op10_exact_top_k": sql.top_k(50, 5)}
