@@ -12,6 +12,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pricetide.operators.history import two_newest
 from pricetide.session import prepare
 from pricetide.tables import PriceTables
 
@@ -174,6 +175,7 @@ class Bound:
         self.spark = prepare(spark)
         self.folder = folder.rstrip("/")
         self._frames: dict[str, DataFrame] = {}
+        self._kept: DataFrame | None = None
 
     def view(self, name: str) -> DataFrame:
         if name not in self._frames:
@@ -193,6 +195,15 @@ class Bound:
     def tables(self) -> PriceTables:
         return PriceTables(**{name: self.view(name) for name in TABLES})
 
+    @property
+    def kept_tables(self) -> PriceTables:
+        """The same with the two newest points of each listing beside the history, stored ones where there are."""
+        return self.tables.with_(latest=two_newest(self.price_point) if self._kept is None else self._kept)
+
+    def keep_latest(self, path: str) -> None:
+        """Store the two newest points of each listing, as the streaming job would have left them."""
+        two_newest(self.price_point).write.mode("overwrite").parquet(path)
+        self._kept = self.spark.read.schema(self.price_point.schema).parquet(path)
 
     def landed(self, path: str) -> Bound:
         """The same tables, stored under ``path`` as a collector would keep them."""

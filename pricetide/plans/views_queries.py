@@ -180,20 +180,15 @@ def _register_pages() -> None:
 _register_pages()
 
 
-def _kept(b):
-    """The tables with the two newest points of each listing beside the history."""
-    return b.tables.with_(latest=history.two_newest(b.price_point))
-
-
 @query("listings_page_kept", f"SELECT {_PAGE} FROM {{offer}} WHERE buyable ORDER BY captured_at DESC, store_id, sku LIMIT 250 OFFSET 5")
 def listings_page_kept(b):
     q = ListingQuery(sort="seen", direction="desc", in_stock_only=True, limit=250, offset=5)
-    return listings.listings_page(_kept(b), q)
+    return listings.listings_page(b.kept_tables, q)
 
 
 @query("movers_kept", _MOVER)
 def movers_kept(b):
-    return movers.movers(_kept(b))
+    return movers.movers(b.kept_tables)
 
 
 @query("listings_total", f"SELECT COUNT(*) AS total FROM {{offer}} WHERE buyable AND {_REAL}")

@@ -37,15 +37,14 @@ def select_stores(stores: DataFrame, only: DataFrame | Sequence | None = None) -
         return stores.where("enabled")
     if not isinstance(only, DataFrame):
         return stores.where(F.col("store_id").isin(*only))
-    # whether anything is named is known when the plan runs: one row, compared as a value
-    named = only.select("store_id").distinct().withColumn("_named", F.lit(True))
-    some = only.agg((F.count(F.lit(1)) > 0).alias("_some"))
-    marked = stores.join(named, "store_id", "left").withColumn("_one", F.lit(1))
-    return (
-        marked.join(some.withColumn("_one", F.lit(1)), "_one")
-        .where(F.when(F.col("_some"), F.coalesce("_named", F.lit(False))).otherwise(F.col("enabled")))
-        .select(*stores.columns)
-    )
+    named = only.select("store_id").distinct()
+    # whether anything is named is a value of its own, known when the plan runs
+    return stores.sparkSession.sql(
+        """
+        SELECT s.* FROM {stores} s LEFT JOIN {named} n ON n.store_id = s.store_id
+        WHERE CASE WHEN (SELECT COUNT(*) FROM {only}) > 0 THEN n.store_id IS NOT NULL ELSE s.enabled END""",
+        stores=stores, named=named, only=only,
+    )
 
 
 def missing_stores(stores: DataFrame, only: DataFrame) -> DataFrame:
