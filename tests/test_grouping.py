@@ -33,7 +33,7 @@ TITLES = [
 def assigned(spark):
     stored = [("s", str(i), t, p, "IN", "old sonic" if "Forces" in t else None) for i, (t, p, _) in enumerate(TITLES)]
     listing = spark.createDataFrame(stored, LISTING)
-    aliases = spark.createDataFrame([("Sonik Forsez", "Sega Sonic Forces")], "from_title string, to_title string")
+    aliases = spark.createDataFrame([("Sonik Forsez", "Sega Sonic Forces", 1)], "from_title string, to_title string, ord int")
     return matching.assign_games(listing, aliases).cache()
 
 
@@ -165,13 +165,15 @@ def test_json_ld(spark):
 
 def test_embedded_state(spark):
     node = {"productTitle": "Deep", "finalPrice": {"value": 7}, "url": "/d", "availability": {"intent": "OUT_OF_STOCK"}}
-    too_deep = node
-    for _ in range(14):
-        too_deep = {"x": too_deep}
-    state = {"a": [node, {"title": "No number", "price": {"value": "7"}, "url": "/n"}], "far": too_deep}
+    far = node | {"productTitle": "Far"}
+    for _ in range(60):
+        far = {"x": far}
+    state = {"a": [node, {"title": "No number", "price": {"value": "7"}, "url": "/n"}], "far": far}
     html = f"<script>window.__INITIAL_STATE__ = {json.dumps(state)};</script>"
     df = spark.createDataFrame([("p", "s", html)], "page_id string, store_id string, html string")
-    assert [(r.title, r.price, r.href, r.in_stock) for r in pages.embedded_state(df).collect()] == [("Deep", 7.0, "/d", False)]
+    assert [(r.title, r.price, r.href, r.in_stock) for r in pages.embedded_state(df).collect()] == [
+        ("Deep", 7.0, "/d", False), ("Far", 7.0, "/d", False),
+    ]
 
 
 def test_shopify_feed(spark):
@@ -206,4 +208,8 @@ def test_a_stream_of_late_points_ends_where_the_batch_does(spark, tmp_path):
         return sorted((r.sku, r.inr_price, r.previous.inr_price) for r in frame.collect())
 
     assert plain(jobs.read_latest_price(spark, str(tmp_path / "out"))) == plain(latest_and_previous(df))
-    assert spark.read.parquet(str(tmp_path / "out")).where(F.col("v") > 0).count() > 0
+    assert spark.read.parquet(str(tmp_path / "out")).select("slot").distinct().count() == 2
+    # a restart without new data leaves the state where it was
+    again = jobs.latest_price_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    again.awaitTermination()
+    assert plain(jobs.read_latest_price(spark, str(tmp_path / "out"))) == plain(latest_and_previous(df))
