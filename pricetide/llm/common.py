@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricetide.session import settle
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the cluster's shared checkpoint folder and go on from there.
+    """Compute ``df`` once into the cluster's shared checkpoint folder, which ``spark.checkpoint.dir`` names, and go on from there."""
+    return settle(df)
+
+
+def carried(docs: DataFrame, carry: list[str], *more: Column) -> tuple[DataFrame, int | None]:
+    """Rows for Python: a struct ``row`` of what passes through, the text, and ``more``.
 
-    ``spark.checkpoint.dir`` names the folder.  Only a local session that names
-    none gets a folder of its own; a cluster without one is an error.
+    A text that passes through is sent once: the second value is its place in the struct.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpus-"))
-    return df.checkpoint(eager=True)
+    at = carry.index("text") if "text" in carry and docs.schema["text"].dataType.simpleString() == "string" else None
+    text = F.col("text").cast("string") if at is None else F.lit(None).cast("string")
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), text.alias("text"), *more), at
 
 
 def in_fold(doc_id: Column, folds: int, fold: int) -> Column:

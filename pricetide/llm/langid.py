@@ -26,6 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pricetide.llm.common import carried
+from pricetide.llm.words import text_of
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 UNDETERMINED = "und"
@@ -108,18 +111,18 @@ def sizes(text: str, compressors: list[list[zstandard.ZstdCompressor]]) -> np.nd
     return np.array([sum(len(c.compress(x)) for c in shards for x in chunks) for shards in compressors], float)
 
 
-def _predict(found):
+def _predict(found, at: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Dictionaries(**found.value)
         compressors = [[compressor(data) for data in shards] for shards in model.shards]
         for batch in batches:
             names, scores = [], []
-            for text, usable in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, usable in zip(text_of(batch, at), batch.column(2).to_pylist(), strict=True):
                 if not usable or not model.languages:
                     names.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                size = sizes(text, compressors)
+                size = sizes(text.as_py(), compressors)
                 best = int(size.argmin())
                 names.append(model.languages[best])
                 scores.append(float(1 / np.exp2((size[best] - size) / BYTES_PER_HALVING).sum()))
@@ -143,9 +146,8 @@ def classify(docs: DataFrame, model: Dictionaries, carry: list[str]) -> DataFram
     ``source`` are never looked at.
     """
     found = docs.sparkSession.sparkContext.broadcast(vars(model))
-    kept = [F.col(c) for c in carry]
-    out = docs.select(F.struct(*kept).alias("row"), F.col("text").cast("string").alias("text"), has_letter(F.col("text").cast("string")).alias("usable"))
+    out, at = carried(docs, carry, has_letter(F.col("text").cast("string")).alias("usable"))
     fields = out.schema["row"].dataType.simpleString()
-    return out.mapInArrow(_predict(found), f"row {fields}, lang_pred string, score double").select(
+    return out.mapInArrow(_predict(found, at), f"row {fields}, lang_pred string, score double").select(
         "row.*", "lang_pred", "score", ((F.col("score") >= MIN_SCORE) & (F.col("lang_pred") != UNDETERMINED)).alias("accepted")
     )

@@ -21,8 +21,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import keep
-from pricetide.llm.words import U, blocks, join_texts, runs, span_hashes
+from pricetide.llm.common import carried, keep
+from pricetide.llm.words import U, blocks, join_texts, runs, span_hashes, text_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -136,12 +136,12 @@ def best_match(unit: np.ndarray, count: int, hashed: np.ndarray, model: dict) ->
     return best, score
 
 
-def _scan(shared, threshold: float):
+def _scan(shared, threshold: float, at: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             out: list[tuple] = []
-            for _, encoded in blocks(batch.column(1).to_pylist()):
+            for _, encoded in blocks(text_of(batch, at).to_pylist()):
                 text, hashed, starts = terms(encoded)
                 data, _ = join_texts(encoded)
                 line = np.searchsorted(np.flatnonzero(data == 10), starts)
@@ -177,8 +177,8 @@ def scan(docs: DataFrame, carry: list[str], templates: dict[str, list[str]] = TE
     and empty texts have none and 0.  Ties go to the earlier unit and template.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, templates))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_scan(shared, threshold), f"row {rows.schema['row'].dataType.simpleString()}, license string, origin string, similarity double")
+    rows, at = carried(docs, carry)
+    out = rows.mapInArrow(_scan(shared, threshold, at), f"row {rows.schema['row'].dataType.simpleString()}, license string, origin string, similarity double")
     return out.select("row.*", "license", "origin", "similarity")
 
 

@@ -26,7 +26,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.words import BLANK, U, blocks, join_texts, span_hashes
+from pricetide.llm.common import carried
+from pricetide.llm.words import BLANK, U, blocks, join_texts, span_hashes, text_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -213,11 +214,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None) ->
     return train(np.array([r["features"] for r in taught]), y, vectors)
 
 
-def _score(found):
+def _score(found, at: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**found.value)
         for batch in batches:
-            given = model.scores(features(batch.column(1).to_pylist(), model.vectors))
+            given = model.scores(features(text_of(batch, at).to_pylist(), model.vectors))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(given)], names=["row", "score"])
 
     return run
@@ -230,6 +231,6 @@ def classify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     blank has the score of a document without tokens.
     """
     found = docs.sparkSession.sparkContext.broadcast(vars(model))
-    rows = docs.select(F.struct(*(F.col(c) for c in carry)).alias("row"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_score(found), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    rows, at = carried(docs, carry)
+    out = rows.mapInArrow(_score(found, at), f"row {rows.schema['row'].dataType.simpleString()}, score double")
     return out.select("row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

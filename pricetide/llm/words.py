@@ -11,18 +11,24 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 
 # Workers need not have this package installed: the helpers travel with the plan.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 U = np.uint64
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BYTE_CODES = np.random.default_rng(20_240_601).integers(0, 2**64, 256, dtype=U)
 
 
+def text_of(batch: pa.RecordBatch, at: int | None) -> pa.Array:
+    """The texts of a batch of ``common.carried`` rows."""
+    return batch.column(1) if at is None else batch.column(0).field(at)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64: a bijection of 64 bits that spreads every input bit."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
