@@ -36,9 +36,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: The published splitting pattern of byte-level vocabularies.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Characters that are encoded together, about.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 #: Pieces of more bytes are merged one by one.
 WIDEST = 64
 SHIFT = 20
