@@ -302,10 +302,10 @@ def game_offers(b):
 
 @query("game_offers_page", f"""
 SELECT {_PAGE} FROM {{offer}} WHERE game = (SELECT MAX(game) FROM {{listing}} WHERE platform = 'SWITCH') AND platform = 'SWITCH'
-ORDER BY inr_price NULLS FIRST, store_id, sku LIMIT 500 OFFSET 1""")
+ORDER BY inr_price NULLS FIRST, store_id, sku LIMIT 500 OFFSET 0""")
 def game_offers_page(b):
     game = b.listing.where("platform = 'SWITCH'").agg(F.max("game")).first()[0]
-    return listings.game_offers(b.tables, game, "SWITCH", ListingQuery(limit=500, offset=1))
+    return listings.game_offers(b.tables, game, "SWITCH", ListingQuery(limit=500, offset=0))
 
 
 def _facet_sql(where: str, own: dict[str, str] | None = None, source: str = "listing") -> str:
