@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -105,8 +105,9 @@ def _signatures(k: int, bands: int, rows: int):
                         pa.ListArray.from_arrays(
                             pa.array(ends, pa.int32()), pa.array(np.ascontiguousarray(bucket).view(np.int64).ravel())
                         ),
+                        *(c.slice(start, len(encoded)) for c in batch.columns[2:]),
                     ],
-                    names=["doc_id", "n_shingles", "key_a", "key_b", "buckets"],
+                    names=["doc_id", "n_shingles", "key_a", "key_b", "buckets", *batch.schema.names[2:]],
                 )
 
     return run
@@ -114,20 +115,24 @@ def _signatures(k: int, bands: int, rows: int):
 
 def _full_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # of rows that repeat, one a task is enough
         for batch in batches:
-            ids, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            ids, keys, often, texts = (batch.column(i).to_pylist() for i in range(4))
             for start, encoded in blocks(texts):
-                out = [
-                    (ids[start + i], len(s), s.tobytes())
-                    for i, s in enumerate(shingle_sets(encoded, k))
-                    if int(mix(s).sum(dtype=U).view(np.int64)) == keys[start + i]
-                ]  # an id may repeat with another text; only the set in question counts
+                out = []
+                for i, s in enumerate(shingle_sets(encoded, k), start):
+                    if int(mix(s).sum(dtype=U).view(np.int64)) != keys[i] or (ids[i], keys[i]) in seen:
+                        continue  # an id may repeat with another text; only the set in question counts
+                    if often[i]:
+                        seen.add((ids[i], keys[i]))
+                    out.append((ids[i], len(s), s.tobytes(), keys[i], often[i]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()),
-                        pa.array([x[2] for x in out], pa.binary()),
+                        pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.int64()),
+                        pa.array([x[4] for x in out], pa.bool_()),
                     ],
-                    names=["rep", "n", "shingles"],
+                    names=["rep", "n", "shingles", "key_a", "often"],
                 )
 
     return run
@@ -226,7 +231,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = BAND_ROWS
+    docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = BAND_ROWS, carry: str | None = None
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text)``.
 
@@ -234,12 +239,14 @@ def near_duplicates(
     fewer than ``k`` words has its whole sequence as the only shingle.  A text
     that is null or has no word has an empty set and is linked with nothing.  Each
     row is judged by its own text, also where an id repeats; a row with a null id
-    is linked with nothing.  Other columns are ignored.  Of equal rows all are
-    kept or none.
+    is linked with nothing.  Of equal rows all are kept or none.  The column
+    ``carry``, if given, passes through; others are ignored.
     """
+    passed = [carry] if carry else []
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in passed)
     signed = keep(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-            _signatures(k, bands, rows), "doc_id long, n_shingles long, key_a long, key_b long, buckets array<long>"
+        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *passed).mapInArrow(
+            _signatures(k, bands, rows), "doc_id long, n_shingles long, key_a long, key_b long, buckets array<long>" + more
         )
     )
     key = ["n_shingles", "key_a", "key_b"]
@@ -247,7 +254,7 @@ def near_duplicates(
     first = usable.groupBy(key).agg(F.min("doc_id").alias("rep"))
     # one row per distinct set: its smallest id stands for it
     lead = usable.join(first.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"]).dropDuplicates([*key, "doc_id"])
-    placed = lead.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "key_a", F.explode("buckets").alias("bucket"))
+    placed = lead.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("fellows")).where("fellows > 1")
     member = keep(placed.join(shared, "bucket"))
 
@@ -265,13 +272,17 @@ def near_duplicates(
     order = Window.partitionBy("rep").orderBy(F.desc("bands"), "hub")
     best = meets.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= HUBS)
     # only sets in a bucket with another set are ever compared
-    wanted = member.select("rep", "key_a").distinct()
-    sets = keep(
+    often = keep(usable.groupBy(F.col("doc_id").alias("rep")).agg((F.count("*") > 1).alias("often")).where("often"))
+    wanted = member.select("rep").distinct().join(first.select("rep", "key_a"), "rep").join(often, "rep", "left")
+    read = keep(
         docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
         .join(wanted, "rep")
-        .select("rep", "key_a", "text")
-        .mapInArrow(_full_sets(k), "rep long, n long, shingles binary")
+        .select("rep", "key_a", F.coalesce("often", F.lit(False)).alias("often"), "text")
+        .mapInArrow(_full_sets(k), "rep long, n long, shingles binary, key_a long, often boolean")
     )
+    sets = read.select("rep", "n", "shingles")
+    if not often.isEmpty():
+        sets = keep(read.where("not often").union(read.where("often").dropDuplicates(["rep", "key_a"])).select("rep", "n", "shingles"))
     links = keep(_links(best.select(F.col("rep").alias("u"), F.col("hub").alias("v")), sets, percent))
     found = components(links)
 
@@ -304,13 +315,30 @@ def near_duplicates(
     label = first.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         *key, F.coalesce("component", "rep").alias("component_id")
     )
-    with_label = signed.select("doc_id", *key).join(label, key, "left")
+    with_label = signed.select("doc_id", *key, *passed).join(label, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return with_label.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        *passed,
     )
 
 
+def row_key() -> Column:
+    """What tells the rows of ``docs(doc_id, text)`` apart: the same for rows with equal id and text, null ids included."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def groups(docs: DataFrame, *carry: Column | str) -> DataFrame:
+    """The columns ``carry`` of every row of ``docs(doc_id, text)``, with ``row_key``, ``n_shingles`` and ``component_id``.
+
+    As ``near_duplicates``, but rows with a null id take part, and the texts of an
+    id that repeats are different members.  A component is named by the smallest
+    ``row_key`` in it.
+    """
+    found = near_duplicates(docs.select(row_key().alias("doc_id"), "text", F.struct(*carry).alias("row")), carry="row")
+    return found.select("row.*", F.col("doc_id").alias("row_key"), "n_shingles", "component_id")
+
+
 def _crowded_links(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the components of ``crowd(rep, n, component, low)``: members of crowded buckets, each with its bucket's first.
 

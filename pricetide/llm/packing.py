@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -87,17 +87,19 @@ def _pack_share(capacity: int):
     return run
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None) -> DataFrame:
+def _whole(length: str | None) -> Column:
+    return F.coalesce(F.length(F.col("text").cast("string")) if length is None else F.col(f"`{length}`").cast("int"), F.lit(0))
+
+
+def pieces(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None, length: str | None = None) -> DataFrame:
     """``(doc_id, part, start, length, source, cluster)``: each text in pieces of at most ``capacity`` code points.
 
     A null or empty text is one piece of length 0.  Without a column ``cluster``,
-    equal texts form a cluster.
+    equal texts form a cluster.  A column ``length`` stands for the text's length in code points.
     """
     text = F.col("text").cast("string")
     group = F.when(F.length(text) > 0, F.xxhash64(text)) if cluster is None else F.col(f"`{cluster}`").cast("long")
-    measured = docs.select(
-        F.col("doc_id").cast("long"), F.coalesce(F.length(text), F.lit(0)).alias("whole"), F.col("source").cast("string"), group.alias("cluster")
-    )
+    measured = docs.select(F.col("doc_id").cast("long"), _whole(length).alias("whole"), F.col("source").cast("string"), group.alias("cluster"))
     last = F.greatest(F.ceil(F.col("whole") / capacity).cast("int") - 1, F.lit(0))
     cut = measured.select("doc_id", "whole", "source", "cluster", F.explode(F.sequence(F.lit(0), last)).alias("part"))
     start = F.col("part") * capacity
@@ -106,7 +108,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None
     )
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None, per_task: int = PIECES_PER_TASK) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None, per_task: int = PIECES_PER_TASK, length: str | None = None
+) -> DataFrame:
     """Packed sequences of ``docs(doc_id, text, source)``, one row per piece.
 
     ``(bin_id, slot, at, doc_id, part, start, length, source, cluster)``: the piece is the
@@ -116,9 +120,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cluster: str | Non
     twice.  A null source or cluster conflicts with nothing.  Rows that repeat are
     packed each, in different bins.  Other columns are ignored.
     """
-    cut = pieces(docs, capacity, cluster)
-    whole = F.greatest(F.ceil(F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)) / capacity), F.lit(1))
-    count = docs.agg(F.sum(whole)).first()[0] or 0
+    cut = pieces(docs, capacity, cluster, length)
+    count = docs.agg(F.sum(F.greatest(F.ceil(_whole(length) / capacity), F.lit(1)))).first()[0] or 0
     return cut.repartition(max(1, -(-int(count) // per_task))).mapInArrow(
         _pack_share(capacity),
         "bin_id long, slot int, at int, doc_id long, part int, start int, length int, source string, cluster long",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetide.llm import ann, bpe, langid, licenses, neardup, packing, pii, quality, sql, topk, urlfilter
-from pricetide.llm.common import in_fold, table
+from pricetide.llm.common import in_fold, keep, table
 
 #: The rules that ``op6_url_filters`` applies: host, beginning of the path, verdict.
 RULES = [
@@ -75,7 +75,12 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(table(spark, folder, "documents"))
+    """Near-duplicates form a cluster, and so do equal texts that have no word."""
+    text = F.col("text").cast("string")
+    found = neardup.groups(table(spark, folder, "documents"), "doc_id", "source", F.length(text).alias("length"), F.xxhash64(text).alias("same"))
+    cluster = F.when(F.col("n_shingles") > 0, F.col("component_id")).when(F.col("length") > 0, F.col("same"))
+    measured = keep(found.select("doc_id", "source", "length", cluster.alias("cluster")))
+    return packing.pack_documents(measured, cluster="cluster", length="length")
 
 
 def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:

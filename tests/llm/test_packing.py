@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from pricetide.llm import packing
+from pricetide.llm import packing, queries
 
 
 def slow(lengths, sources, clusters, capacity):
@@ -69,3 +69,18 @@ def test_repeated_rows_null_ids_and_given_clusters(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert packing.pack_documents(df).collect() == []
+
+
+def test_near_copies_of_other_sources_stay_apart(spark, tmp_path):
+    draw = random.Random(8)
+    text = " ".join(f"w{draw.randint(0, 999)}" for _ in range(120))
+    near = text.replace(" ", "  ", 3) + " end"
+    docs = [(1, text, "a"), (2, near, "b"), (3, near, "c"), (None, text, "d"), (None, near, "e"), (4, "other words stand here now", "f"), (5, " ", "g"), (6, " ", "h"), (7, "", "i"), (8, None, "j")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op9_best_fit_packing(spark, str(tmp_path)).collect()
+    assert len(rows) == len(docs) and rows[0].__fields__[-1] == "cluster"
+    copies = [r for r in rows if r["source"] in "abcde"]
+    assert len({r["cluster"] for r in copies}) == 1 and len({r["bin_id"] for r in copies}) == 5
+    blank = {r["cluster"] for r in rows if r["source"] in "gh"}
+    assert len(blank) == 1 and blank.isdisjoint({r["cluster"] for r in copies}) and None not in blank
+    assert all(r["cluster"] is None for r in rows if r["source"] in "ij")
