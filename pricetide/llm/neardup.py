@@ -339,6 +339,27 @@ def groups(docs: DataFrame, *carry: Column | str) -> DataFrame:
     return found.select("row.*", F.col("doc_id").alias("row_key"), "n_shingles", "component_id")
 
 
+def one_of_each(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The ``columns`` of one row of each group of near-duplicates in ``docs(doc_id, text, ...)``.
+
+    The row with the smallest id stays, null ids last; of rows with equal id and
+    text the one with the smallest other columns.  Rows without a word are in no group, and all stay.
+    """
+    rows = groups(docs, "doc_id").where("n_shingles > 0").groupBy("component_id", "doc_id", "row_key").agg(F.count("*").alias("copies"))
+    rows = keep(rows.withColumn("place", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")))
+    first = rows.groupBy("component_id").agg(F.min("place").alias("first"), F.sum("copies").alias("members")).where("members > 1")
+    # what has to go, and what stays but repeats
+    odd = rows.join(first, "component_id").select("row_key", (F.col("place") == F.col("first")).alias("stays"), "copies")
+    odd = keep(odd.where("not stays or copies > 1").groupBy("row_key").agg(F.max("stays").alias("stays")))
+    keyed = docs.select(*columns, row_key().alias("row_key"))
+    out = keyed.join(odd, "row_key", "left_anti").select(columns)
+    once = odd.where("stays").select("row_key")
+    if once.isEmpty():
+        return out
+    least = keyed.join(once, "row_key").groupBy("row_key").agg(F.min(F.struct(*columns)).alias("row"))
+    return out.union(least.select("row.*"))
+
+
 def _crowded_links(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the components of ``crowd(rep, n, component, low)``: members of crowded buckets, each with its bucket's first.
 

@@ -1,5 +1,6 @@
 """The pipeline's stages: each takes effect, keeps clean documents, and agrees with a slow version."""
 
+import random
 from pathlib import Path
 
 import pytest
@@ -83,3 +84,20 @@ def test_packing(stages):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, FOLDER).count() == len(stages[5])
+
+
+def test_one_row_of_each_group_stays(spark):
+    draw = random.Random(3)
+    long, near, clean, none = (" ".join(f"{c}{draw.randint(0, 999)}" for _ in range(80)) for c in "abcd")
+    near = long + " end"
+    rows = [
+        *[(7, clean, "s")] * 50, (8, clean, "t"), (None, clean, "u"),  # a row that repeats, and copies of it
+        (1, long, "s"), (2, near, "s"), (2, none, "s"),  # an id with a copy of a smaller id and a clean text
+        *[(None, "only rows without an id", "s")] * 20, (None, "only rows without an id", "t"),
+        (9, None, "s"), (10, None, "s"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.one_of_each_group(spark, docs.repartition(8), FOLDER)
+    assert got.columns == corpus_pipeline.COLUMNS
+    want = [(7, clean), (1, long), (2, none), (None, "only rows without an id"), (9, None), (10, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
