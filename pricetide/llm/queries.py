@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import ann, bpe, langid, licenses, neardup, packing, pii, quality, simhash, sql, topk, urlfilter
+from pricetide.llm import ann, bpe, langid, licenses, neardup, packing, pii, quality, simhash, sql, topk, urlfilter, whitening
 from pricetide.llm.common import in_fold, keep, table
 
 #: The rules that ``op6_url_filters`` applies: host, beginning of the path, verdict.
@@ -87,6 +87,11 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
 def op13_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -97,7 +102,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_license_scans, op3_nearest_neighbours, op4_personal_data, op5_bpe_round_trip,
-        op6_url_filters, op7_minhash_near_dedup, op8_language_id, op9_best_fit_packing, op10_exact_top_k, op13_simhash_near_dedup,
+        op6_url_filters, op7_minhash_near_dedup, op8_language_id, op9_best_fit_packing, op10_exact_top_k,
+        op12_embedding_whitening, op13_simhash_near_dedup,
     )
 }
 
