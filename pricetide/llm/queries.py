@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import ann, bpe, langid, licenses, neardup, packing, pii, quality, simhash, sql, topk, urlfilter, whitening
+from pricetide.llm import alignment, ann, bpe, langid, licenses, neardup, packing, pii, quality, simhash, sql, topk, urlfilter, whitening
 from pricetide.llm.common import in_fold, keep, table
 
 #: The rules that ``op6_url_filters`` applies: host, beginning of the path, verdict.
@@ -87,6 +87,16 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = alignment.load(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    aligned = alignment.align(table(spark, folder, "documents"), vocabulary, ["doc_id"])
+    digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    counted = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
+    return alignment.with_counts(aligned.select(*counted, digest, "pairs"), vocabulary, [*counted, "groups_sha256"])
+
+
 def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return whitening.whiten(vectors, whitening.fit(vectors))
@@ -103,7 +113,7 @@ QUERIES = {
     for f in (
         op1_quality_classifier, op2_license_scans, op3_nearest_neighbours, op4_personal_data, op5_bpe_round_trip,
         op6_url_filters, op7_minhash_near_dedup, op8_language_id, op9_best_fit_packing, op10_exact_top_k,
-        op12_embedding_whitening, op13_simhash_near_dedup,
+        op11_cross_tokenizer_alignment, op12_embedding_whitening, op13_simhash_near_dedup,
     )
 }
 
