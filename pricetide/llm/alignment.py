@@ -17,7 +17,6 @@ are broadcast; all rarer pairs meet their counts in a join.
 
 from __future__ import annotations
 
-import os
 import sys
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.bpe import byte_letters
+from pricetide.llm import bpe
 from pricetide.llm.common import carried, keep
 from pricetide.llm.words import text_of
 
@@ -47,42 +46,46 @@ PAIRS_AT_ONCE = 4_000_000
 
 def load(byte_level: str, pieces: str) -> dict:
     """What aligning needs of a byte-level vocabulary file (A) and a sentence-piece model (B), as plain values."""
-    with open(byte_level, "rb") as a, open(pieces, "rb") as b:
-        return {"a": a.read(), "b": b.read()}
+    with open(pieces, "rb") as file:
+        return bpe.load(byte_level) | {"added": {}, "model": file.read()}
 
 
 def _built(vocabulary: dict) -> dict:
-    """The vocabulary with its tokenizers and the bytes of each token; a worker builds them once."""
+    """The vocabulary with its encoders, from texts to all ids and how many each has, and the bytes of each token; a worker builds them once."""
     if "encode_a" in vocabulary:
         return vocabulary
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from sentencepiece import SentencePieceProcessor
-    from tokenizers import Tokenizer
-
-    first = Tokenizer.from_buffer(vocabulary["a"])
-    first.encode_special_tokens = True
-    first.no_truncation()
-    first.no_padding()
-    byte_of = {c: b for b, c in enumerate(byte_letters())}
-    bytes_a = [b""] * (1 + max(first.get_vocab().values()))
-    for token, i in first.get_vocab().items():
-        bytes_a[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-    second = SentencePieceProcessor(model_proto=vocabulary["b"])
+
+    second = SentencePieceProcessor(model_proto=vocabulary["model"])
+    bytes_a = vocabulary["tokens"]
     bytes_b = [
         bytes([int(p[3:5], 16)]) if second.IsByte(i) else p.replace("▁", " ").encode()
         for i, p in enumerate(second.id_to_piece(list(range(second.vocab_size()))))
     ]
     # digits with the mark that follows: within a side, at its end
     marks = [f"{i}{m}".encode() for n, ms in ((len(bytes_a), ",|"), (len(bytes_b), ",;")) for m in ms for i in range(n)]
-    vocabulary |= {
-        "encode_a": lambda texts: [e.ids for e in first.encode_batch([" " + t for t in texts], add_special_tokens=False)],
-        "encode_b": lambda texts: second.encode(texts, num_threads=1),
-        "bytes_a": bytes_a, "bytes_b": bytes_b, "marks": np.array(marks, object),
-        "length_a": np.array([len(t) for t in bytes_a]), "length_b": np.array([len(t) for t in bytes_b]),
-    }
+
+    def encode_b(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(i, np.int64) for i in second.encode([t[1:] for t in texts], num_threads=1)]  # it adds the space
+        return np.concatenate([np.zeros(0, np.int64), *ids]), np.array([len(i) for i in ids], np.int64)
+
+    vocabulary |= {"encode_a": bpe.Encoder(vocabulary), "encode_b": encode_b, "marks": np.array(marks, object)}
+    for side, tokens in (("a", bytes_a), ("b", bytes_b)):
+        vocabulary[f"bytes_{side}"] = np.array([*tokens, None], object)[:-1]
+        vocabulary[f"length_{side}"] = np.array([len(t) for t in tokens])
     return vocabulary
 
 
+def _encoded(texts: list[bytes], ids: np.ndarray, counts: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which texts are the bytes of their tokens."""
+    sizes = np.concatenate([[0], np.cumsum(lengths[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+    good = np.diff(sizes) == [len(t) for t in texts]
+    joined = b"".join(tokens[ids].tolist())
+    if good.all() and joined == b"".join(texts):
+        return good
+    return np.array([joined[a:b] == t for a, b, t in zip(sizes[:-1].tolist(), sizes[1:].tolist(), texts, strict=True)], bool)
+
+
 def _meet_after(x: np.ndarray, y: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """From each place ``i`` of ``x`` on, the first value that ``y`` has, too: its place in either.  The last values agree."""
     i, j = i.copy(), np.searchsorted(y, x[i])
@@ -204,19 +207,18 @@ def _aligned_texts(texts: list[str], vocabulary: dict) -> tuple[np.ndarray, list
     """Per text: a row of the numbers of A's and B's tokens, groups and links; the groups written out; the packed pairs."""
     numbers = np.zeros((len(texts), 4), np.int64)
     written, kept = [b""] * len(texts), [packed(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(texts)
-    some = [i for i, t in enumerate(texts) if t]
-    all_a, all_b = (vocabulary[e]([texts[i] for i in some]) for e in ("encode_a", "encode_b"))
-    use, ids_a, ids_b = [], [], []
-    for i, a, b in zip(some, all_a, all_b, strict=True):
-        want = b" " + texts[i].encode()
-        if b"".join([vocabulary["bytes_a"][x] for x in a]) == want == b"".join([vocabulary["bytes_b"][x] for x in b]):
-            use.append(i)
-            ids_a.append(np.array(a, np.int64))
-            ids_b.append(np.array(b, np.int64))
-    if not use:
+    some = np.array([i for i, t in enumerate(texts) if t], np.int64)
+    spaced = [" " + texts[i] for i in some]
+    (ids_a, many_a), (ids_b, many_b) = vocabulary["encode_a"](spaced), vocabulary["encode_b"](spaced)
+    given = [t.encode() for t in spaced]
+    good = np.ones(len(some), bool)
+    for ids, counts, side in ((ids_a, many_a, "a"), (ids_b, many_b, "b")):
+        good &= _encoded(given, ids, counts, vocabulary[f"bytes_{side}"], vocabulary[f"length_{side}"])
+    use = some[good]
+    if not len(use):
         return numbers, written, kept
-    texts_a, texts_b = (np.concatenate([[0], np.cumsum([len(x) for x in ids])]) for ids in (ids_a, ids_b))
-    ids_a, ids_b = np.concatenate(ids_a), np.concatenate(ids_b)
+    ids_a, ids_b = ids_a[np.repeat(good, many_a)], ids_b[np.repeat(good, many_b)]
+    texts_a, texts_b = (np.concatenate([[0], np.cumsum(many[good])]) for many in (many_a, many_b))
     ends_a, ends_b = np.cumsum(vocabulary["length_a"][ids_a]), np.cumsum(vocabulary["length_b"][ids_b])
     begin_a, begin_b = groups(ends_a, ends_b, texts_a, texts_b)
     many_a, many_b = np.diff(np.append(begin_a, len(ids_a))), np.diff(np.append(begin_b, len(ids_b)))
@@ -236,7 +238,7 @@ def _aligned_texts(texts: list[str], vocabulary: dict) -> tuple[np.ndarray, list
     text = np.repeat(np.arange(len(use)), np.diff(first))
     keys, times = linked_pairs(ids_a, ids_b, begin_a, begin_b, text, kinds_b, kinds_a * kinds_b)
     pairs, low = keys % (kinds_a * kinds_b), np.searchsorted(keys, np.arange(len(use) + 1) * (kinds_a * kinds_b))
-    for n, i in enumerate(use):
+    for n, i in enumerate(use.tolist()):
         written[i] = b"".join(pieces[cuts[n] : cuts[n + 1]])[:-1]
         kept[i] = packed(pairs[low[n] : low[n + 1]], times[low[n] : low[n + 1]])
     return numbers, written, kept

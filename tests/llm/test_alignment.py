@@ -11,7 +11,7 @@ import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from pricetide.llm import alignment, queries
+from pricetide.llm import alignment, bpe, queries
 
 FILES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ZEROS = (0, 0, 0, 0, 0, 0, "")
@@ -19,7 +19,7 @@ ZEROS = (0, 0, 0, 0, 0, 0, "")
 
 def tokens(text, a, b):
     """``(id, bytes)`` of either side, in order."""
-    shown = {c: i for i, c in enumerate(alignment.byte_letters())}
+    shown = {c: i for i, c in enumerate(bpe.byte_letters())}
     first = [(i, bytes(shown[c] for c in a.id_to_token(i))) for i in a.encode(" " + text, add_special_tokens=False).ids]
     second = []
     for i in b.encode(text):
@@ -76,7 +76,7 @@ def run(spark, rows, frequent=alignment.FREQUENT):
 
 def corpus():
     draw = random.Random(6)
-    words = ["the", "Straße", "naïve", "don't", "<|endoftext|>", "</s>", "日本語", "word", "wörter", "x" * 40, "3.1415", "😀", "​", "antidisestablishment"]
+    words = ["the", "Straße", "naïve", "don't", "<|endoftext|>", "</s>", "日本語", "word", "  ", "\u3000", "   b", "wörter", "x" * 40, "3.1415", "😀", "​", "antidisestablishment"]
     texts = [
         draw.choice(["", " ", "\n"]) + draw.choice([" ", "  ", "\n\n", "\t", ""]).join(draw.choices(words, k=draw.randint(1, 30))) for _ in range(60)
     ]
