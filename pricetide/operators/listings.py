@@ -31,7 +31,7 @@ class ListingQuery:
     stores: tuple = ()
     regions: tuple = ()
     in_stock_only: bool = False
-    game: str = ""
+    game: str | Column = ""
     domestic_only: bool = False
     sort: str = "price"
     direction: str = "asc"
@@ -67,7 +67,7 @@ def filter_terms(query: ListingQuery) -> dict[str, Column]:
         terms["regions"] = F.col("region").isin(*query.regions)
     if query.in_stock_only:
         terms["in_stock_only"] = F.col("buyable")
-    if query.game:
+    if isinstance(query.game, Column) or query.game:
         terms["game"] = F.col("game") == query.game
     if query.domestic_only:
         terms["domestic_only"] = ~F.col("ships_from_abroad")
@@ -181,6 +181,9 @@ def listings_page(t: PriceTables, query: ListingQuery = ListingQuery()) -> DataF
     )
 
 
-def game_offers(t: PriceTables, game: str, platform: str, query: ListingQuery = ListingQuery()) -> DataFrame:
-    """A page of the offers behind one product row, cheapest first; limit and offset are the query's."""
+def game_offers(t: PriceTables, game: str | Column, platform: str, query: ListingQuery = ListingQuery()) -> DataFrame:
+    """A page of the offers behind one product row, cheapest first; limit and offset are the query's.
+
+    ``game`` may be a scalar subquery: then nothing runs to find it before the page does.
+    """
     return listings_page(t, replace(query, game=game, platform=platform, sort="price", direction="asc"))

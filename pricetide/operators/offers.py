@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricetide import vocab
 from pricetide.operators.listings import ListingQuery, listing_filter, narrowed, priced_listings
+from pricetide.operators.records import lows_and_runs, runs_in
 from pricetide.tables import GAME_KEY, LISTING_KEY, PriceTables
 
 BEST = ["inr_price", "buyable", "url", "region", "condition", "store"]
@@ -78,19 +79,22 @@ def _domestic(t: PriceTables, listing: DataFrame) -> DataFrame:
 def lowest_ever(t: PriceTables, condition: str = "", domestic: bool = False) -> DataFrame:
     """Lowest price over all stores and runs of each product, and in how many runs it was seen.
 
-    Only condition and origin narrow it.  History is first reduced to one row
-    per listing and run, which is also the partitioning the join needs.
+    Only condition and origin narrow it.  Runs are bits, 64 to a block: history
+    is first reduced to one row per listing and block, or read from the kept
+    record, which is that already.
     """
     listing = t.listing.where(F.col("game").isNotNull())
     if condition:
         listing = listing.where(F.col("condition") == condition)
     if domestic:
         listing = _domestic(t, listing)
-    per_run = t.price_point.groupBy(*LISTING_KEY, "run_id").agg(F.min("inr_price").alias("low"))
     return (
-        per_run.join(listing.select(*LISTING_KEY, *GAME_KEY), LISTING_KEY)
+        lows_and_runs(t)
+        .join(listing.select(*LISTING_KEY, *GAME_KEY), LISTING_KEY)
+        .groupBy(*GAME_KEY, "block")
+        .agg(F.min("low").alias("low"), F.bit_or("runs").alias("runs"))
         .groupBy(*GAME_KEY)
-        .agg(F.min("low").alias("lowest_ever"), F.count_distinct("run_id").alias("runs_seen"))
+        .agg(F.min("low").alias("lowest_ever"), runs_in(F.col("runs")).alias("runs_seen"))
     )
 
 

@@ -59,12 +59,15 @@ def price_points(observations: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def append_price_points(points: DataFrame, path: str) -> None:
-    """Append to the history, one folder per run.
+    """Append whole runs to the history, one folder per run, each exactly once.
 
-    Rebalancing gathers a run into few files and, unlike a plain repartition,
-    splits a run that is too large for one task.
+    A run's folder is written as a whole: appending a run again, after a job that
+    failed or whose end nobody saw, puts the same rows in place of what is there.
+    Other runs' folders are not touched.  Rebalancing gathers a run into few
+    files and, unlike a plain repartition, splits a run that is too large for one task.
     """
-    points.hint("rebalance", F.col("run_id")).write.mode("append").partitionBy("run_id").parquet(path)
+    writer = points.hint("rebalance", F.col("run_id")).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def fx_rate_upsert(fetched: DataFrame, order: list[str]) -> DataFrame:

@@ -13,7 +13,9 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 from pricetide.operators.history import two_newest
-from pricetide.session import prepare
+from pricetide.operators.records import records
+from pricetide.session import prepare, work_dir
+from pricetide.sources import stored
 from pricetide.tables import PriceTables
 
 BASE_TABLES = ("region", "nation", "supplier", "part", "orders", "lineitem", "events", "pages", "documents")
@@ -176,6 +178,8 @@ class Bound:
         self.folder = folder.rstrip("/")
         self._frames: dict[str, DataFrame] = {}
         self._kept: DataFrame | None = None
+        self._record: DataFrame | None = None
+        self._in_place: PriceTables | None = None
 
     def view(self, name: str) -> DataFrame:
         if name not in self._frames:
@@ -200,6 +204,31 @@ class Bound:
         """The same with the two newest points of each listing beside the history, stored ones where there are."""
         return self.tables.with_(latest=two_newest(self.price_point) if self._kept is None else self._kept)
 
+    @property
+    def recorded_tables(self) -> PriceTables:
+        """The same with the price record in place of the history, a stored one where there is one."""
+        record = records(self.price_point) if self._record is None else self._record
+        return self.tables.with_(record=record, price_point=None)
+
+    def keep_record(self, path: str) -> None:
+        """Store the price record, as the streaming job would have left it."""
+        records(self.price_point).write.mode("overwrite").parquet(path)
+        self._record = self.spark.read.parquet(path)
+
+    @property
+    def buckets(self) -> int:
+        """Buckets of stored tables: as many as a shuffle would have partitions."""
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    @property
+    def stored_tables(self) -> PriceTables:
+        """The same with history, listings and runs stored by key; written when first asked for, unless they are already."""
+        if self._in_place is None:
+            path = work_dir(self.spark, "stored")
+            stored.store_tables(self.tables, path, self.buckets)
+            self._in_place = stored.stored_tables(self.tables, path, self.buckets)
+        return self._in_place
+
     def keep_latest(self, path: str) -> None:
         """Store the two newest points of each listing, as the streaming job would have left them."""
         two_newest(self.price_point).write.mode("overwrite").parquet(path)
@@ -207,11 +236,18 @@ class Bound:
 
     def landed(self, path: str) -> Bound:
         """The same tables, stored under ``path`` as a collector would keep them."""
-        stored = Bound(self.spark, self.folder)
+        out = Bound(self.spark, self.folder)
         for name in TABLES:
+            if name in stored.LAYOUT:
+                continue
             self.view(name).write.mode("overwrite").parquet(f"{path}/{name}")
-            stored._frames[name] = self.spark.read.schema(self.view(name).schema).parquet(f"{path}/{name}")
-        return stored
+            out._frames[name] = self.spark.read.schema(self.view(name).schema).parquet(f"{path}/{name}")
+        stored.store_tables(self.tables, path, self.buckets)
+        out._in_place = stored.stored_tables(self.tables, path, self.buckets).with_(
+            **{name: out._frames[name] for name in TABLES if name not in stored.LAYOUT}
+        )
+        out._frames |= {name: getattr(out._in_place, name) for name in stored.LAYOUT}
+        return out
 
 
 @lru_cache(maxsize=None)

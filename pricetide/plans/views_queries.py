@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pricetide.operators import facets, history, listings, movers, offers
+from pricetide.operators import facets, history, listings, movers, offers, records
 from pricetide.operators.listings import ListingQuery
 from pricetide.plans.registry import query
 
@@ -17,6 +17,12 @@ def nth_latest(b):
     return history.nth_latest(b.price_point, 2).select(*_POINTS, F.lit(2).alias("nth"))
 
 
+@query("nth_latest_stored", f"SELECT {_POINT}, CAST(rn AS INT) AS nth FROM {{ranked}} WHERE rn = 2")
+def nth_latest_stored(b):
+    """From a history stored by listing."""
+    return history.nth_latest(b.stored_tables.price_point, 2).select(*_POINTS, F.lit(2).alias("nth"))
+
+
 @query("latest_join", f"SELECT l.raw_title, {', '.join('p.' + c for c in _POINTS)} "
        "FROM {listing} l JOIN {latest} p ON l.store_id = p.store_id AND l.sku = p.sku")
 def latest_join(b):
@@ -120,6 +126,12 @@ def movers_(b):
     return movers.movers(b.tables)
 
 
+@query("movers_stored", _MOVER)
+def movers_stored(b):
+    """From tables stored by listing."""
+    return movers.movers(b.stored_tables)
+
+
 @query("mover_store_filter", _MOVER + " WHERE store_id = 3")
 def mover_store_filter(b):
     return movers.movers(b.tables, store_id=3)
@@ -186,6 +198,13 @@ def listings_page_kept(b):
     return listings.listings_page(b.kept_tables, q)
 
 
+@query("listings_page_stored", f"SELECT {_PAGE} FROM {{offer}} WHERE buyable ORDER BY raw_title DESC, store_id, sku LIMIT 250 OFFSET 5")
+def listings_page_stored(b):
+    """From tables stored by listing."""
+    q = ListingQuery(sort="title", direction="desc", in_stock_only=True, limit=250, offset=5)
+    return listings.listings_page(b.stored_tables, q)
+
+
 @query("movers_kept", _MOVER)
 def movers_kept(b):
     return movers.movers(b.kept_tables)
@@ -202,7 +221,7 @@ def price_history(b):
     return history.price_history(b.price_point)
 
 
-@query("history_stats", """
+_STATS = """
 SELECT n.store_id, n.sku, now_price, low_price, low_at, high_price, high_at, n_prices, since FROM (
   SELECT store_id, sku, inr_price AS now_price FROM (
     SELECT *, row_number() OVER (PARTITION BY store_id, sku ORDER BY captured_at DESC, point_id DESC) AS nth
@@ -217,11 +236,20 @@ JOIN (
     FROM {price_point} WHERE inr_price IS NOT NULL) x WHERE nth = 1) h ON n.store_id = h.store_id AND n.sku = h.sku
 JOIN (
   SELECT store_id, sku, COUNT(*) AS n_prices, MIN(captured_at) AS since
-  FROM {price_point} WHERE inr_price IS NOT NULL GROUP BY store_id, sku) c ON n.store_id = c.store_id AND n.sku = c.sku""")
+  FROM {price_point} WHERE inr_price IS NOT NULL GROUP BY store_id, sku) c ON n.store_id = c.store_id AND n.sku = c.sku"""
+
+
+@query("history_stats", _STATS)
 def history_stats(b):
     return history.history_stats(b.price_point)
 
 
+@query("history_stats_kept", _STATS)
+def history_stats_kept(b):
+    """From the kept record: the history is not read."""
+    return records.history_stats(b.recorded_tables.record)
+
+
 @query("price_series_scaled", """
 SELECT store_id, sku, captured_at, inr_price,
   (t - MIN(t) OVER w) / CASE WHEN MAX(t) OVER w = MIN(t) OVER w THEN 1e0 ELSE MAX(t) OVER w - MIN(t) OVER w END AS x,
@@ -248,6 +276,12 @@ def lowest_ever(b):
     return offers.lowest_ever(b.tables)
 
 
+@query("lowest_ever_kept", "SELECT game, platform, lowest_ever, runs_seen FROM {lowest}")
+def lowest_ever_kept(b):
+    """From the kept record: the history is not read."""
+    return offers.lowest_ever(b.recorded_tables)
+
+
 @query("lowest_ever_new_domestic", """
 SELECT l.game, l.platform, MIN(p.inr_price) AS lowest_ever, COUNT(DISTINCT p.run_id) AS runs_seen
 FROM {price_point} p JOIN {listing} l ON l.store_id = p.store_id AND l.sku = p.sku
@@ -296,7 +330,7 @@ SELECT {_PAGE} FROM {{offer}}
 WHERE game = (SELECT MIN(game) FROM {{listing}} WHERE platform = 'SWITCH') AND platform = 'SWITCH'
 ORDER BY inr_price NULLS FIRST, store_id, sku LIMIT 100""")
 def game_offers(b):
-    game = b.listing.where("platform = 'SWITCH'").agg(F.min("game")).first()[0]
+    game = b.listing.where("platform = 'SWITCH'").agg(F.min("game")).scalar()
     return listings.game_offers(b.tables, game, "SWITCH")
 
 
@@ -304,7 +338,7 @@ def game_offers(b):
 SELECT {_PAGE} FROM {{offer}} WHERE game = (SELECT MAX(game) FROM {{listing}} WHERE platform = 'SWITCH') AND platform = 'SWITCH'
 ORDER BY inr_price NULLS FIRST, store_id, sku LIMIT 500 OFFSET 0""")
 def game_offers_page(b):
-    game = b.listing.where("platform = 'SWITCH'").agg(F.max("game")).first()[0]
+    game = b.listing.where("platform = 'SWITCH'").agg(F.max("game")).scalar()
     return listings.game_offers(b.tables, game, "SWITCH", ListingQuery(limit=500, offset=0))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +81,38 @@ def release() -> None:
         _held.pop().unpersist()
 
 
+@dataclass(frozen=True)
+class Stored:
+    """A table of an iteration, written into the shared folder and deleted when the next one stands."""
+
+    rows: DataFrame
+    path: str
+
+    @classmethod
+    def write(cls, df: DataFrame) -> Stored:
+        path = work_dir(df.sparkSession, "round")
+        df.write.parquet(path)
+        return cls(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+    def replaced(self, df: DataFrame) -> Stored:
+        """``df``, which may read this table, in its place."""
+        out = Stored.write(df)
+        delete(df.sparkSession, self.path)
+        return out
+
+    def settled(self) -> DataFrame:
+        """The rows as a checkpoint, which goes with the table that refers to it."""
+        out = settle(self.rows)
+        delete(out.sparkSession, self.path)
+        return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute one round of an iteration now, into the shared folder, and go on from there.
 

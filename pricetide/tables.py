@@ -26,7 +26,8 @@ class PriceTables:
     it is ungrouped.  ``latest`` is optional: the two newest points of each
     listing, as ``history.two_newest`` and the streaming job keep them.  Where
     it is given, what is known today is read from there, and the history is
-    not ranked again.
+    not ranked again.  ``record`` is optional, too: what ``records.records``
+    makes of the history, merged run by run; price records are then read from it.
     """
 
     store: DataFrame | None = None
@@ -40,6 +41,7 @@ class PriceTables:
     aliases: DataFrame | None = None
     redirect: DataFrame | None = None
     latest: DataFrame | None = None
+    record: DataFrame | None = None
 
     @property
     def recent(self) -> DataFrame:
