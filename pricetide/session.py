@@ -58,6 +58,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 _own: list[tempfile.TemporaryDirectory] = []
 _held: list[DataFrame] = []
+_written: list[Stored] = []
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
@@ -75,10 +76,20 @@ def hold(df: DataFrame) -> DataFrame:
     return df
 
 
+def keep_written(df: DataFrame) -> DataFrame:
+    """Write a small table that several steps read into the shared folder, now; ``release`` deletes it."""
+    out = Stored.write(df)
+    _written.append(out)
+    return out.rows
+
+
 def release() -> None:
     """Let go of every table held so far."""
     while _held:
         _held.pop().unpersist()
+    while _written:
+        table = _written.pop()
+        delete(table.rows.sparkSession, table.path)
 
 
 @dataclass(frozen=True)
