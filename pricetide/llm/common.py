@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the cluster's shared checkpoint folder, which ``spark.checkpoint.dir`` names, and go on from there."""
-    return settle(df)
+    """Compute ``df`` once into the cluster's shared checkpoint folder, which ``spark.checkpoint.dir`` names, and go on from there.
+
+    What it was computed from is given back at once: Spark deletes shuffle files
+    and checkpoints when the driver's garbage collector finds that no plan refers
+    to them any more, which a driver with little to do would put off until disks are full.
+    """
+    spark, out = df.sparkSession, settle(df)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def carried(docs: DataFrame, carry: list[str], *more: Column) -> tuple[DataFrame, int | None]:
