@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from pricetide.functions.titles import literal_contains
 from pricetide.operators.history import latest_and_previous, real_move, with_buyable, with_change
+from pricetide.operators.paging import SortKey, page
 from pricetide.tables import LISTING_KEY, PriceTables
 
 SORTS = {
@@ -37,6 +38,8 @@ class ListingQuery:
     direction: str = "asc"
     limit: int = 100
     offset: int = 0
+    #: The cursor of the last row of the page before, in place of an offset.
+    after: tuple | None = None
 
     @property
     def sort_column(self) -> str:
@@ -160,25 +163,26 @@ def listings_total(t: PriceTables, query: ListingQuery) -> DataFrame:
     return matching_listings(t, query).agg(F.count(F.lit(1)).alias("total"))
 
 
+def listings_order(query: ListingQuery) -> list[SortKey]:
+    """The order of a query's listings; all keys are columns of a page, so its last row is the next page's cursor."""
+    nulls_first = not query.descending and query.sort != "change"
+    chosen = SortKey(F.col(query.sort_column), query.descending, nulls_first)
+    return [chosen, *[SortKey(F.col(k)) for k in LISTING_KEY]]
+
+
+def listings_cursor(query: ListingQuery, row: Row) -> tuple:
+    """Where the page after the one that ends with ``row`` goes on."""
+    return (row[query.sort_column], *[row[k] for k in LISTING_KEY])
+
+
 def listings_page(t: PriceTables, query: ListingQuery = ListingQuery()) -> DataFrame:
-    """One page of listings in the requested order."""
-    column = F.col(query.sort_column)
-    if query.sort == "change":
-        ordered = F.desc_nulls_last(column) if query.descending else F.asc_nulls_last(column)
-    else:
-        ordered = F.desc_nulls_last(column) if query.descending else F.asc_nulls_first(column)
+    """One page of listings in the requested order; after a cursor, or after an offset."""
     limit, offset = query.page
     columns = (
         *LISTING_KEY, "raw_title", "url", "region", "platform", "condition", "store", "inr_price",
         "native_price", "native_currency", F.col("buyable").alias("in_stock"), "captured_at", "change_pct",
     )
-    return (
-        matching_listings(t, query)
-        .orderBy(ordered, *[F.asc(k) for k in LISTING_KEY])
-        .offset(offset)
-        .limit(limit)
-        .select(*columns)
-    )
+    return page(matching_listings(t, query), listings_order(query), limit, offset, query.after).select(*columns)
 
 
 def game_offers(t: PriceTables, game: str | Column, platform: str, query: ListingQuery = ListingQuery()) -> DataFrame:

@@ -226,28 +226,28 @@ def subset_key_join(assigned: DataFrame) -> DataFrame:
     """Pairs of products that may be one: the longer key is the shorter plus one or two words.
 
     The extra words may be neither numbers, variant words nor a named edition,
-    and the shorter key has two words at least.  Each key spells out its word
-    sets with one or two words left out, and those meet the other keys in an
-    equi-join; keys are never compared pairwise.
+    and the shorter key has two words at least.  The shorter key is listed under
+    its rarest word, which the longer one must hold: each key asks, for each of
+    its words, for keys one or two words smaller that are listed there.  A key adds
+    rows in proportion to its words, and only those that meet have their words compared.
     """
     games = assigned.where(F.col("game").isNotNull()).select("game", "platform").distinct()
-    sets = games.withColumn("words", word_set(F.col("game")))
-    free = F.filter("words", lambda w: ~variant_word(w))
-    # one word left out, then another after it: rows, not a list of all pairs in one cell
-    one = sets.select("game", "platform", "words", free.alias("free")).withColumn("first", F.explode("free"))
-    two = one.withColumn("second", F.explode(F.filter("free", lambda w: w > F.col("first"))))
-    columns = ["game", "platform", "words"]
-    reduced = (
-        one.select(*columns, F.array("first").alias("extra"))
-        .unionByName(two.select(*columns, F.array("first", "second").alias("extra")))
-        .withColumn("rest", F.array_except("words", "extra"))
+    sets = hold(games.withColumn("words", word_set(F.col("game"))))
+    words = sets.select("game", "platform", "words", F.explode("words").alias("word"))
+    common = words.groupBy("platform", "word").agg(F.count(F.lit(1)).alias("keys"))
+    listed = (
+        words.where(F.size(F.split("game", " ")) >= 2)
+        .join(common, ["platform", "word"])
+        .groupBy("game", "platform")
+        .agg(F.min_by("word", F.struct("keys", "word")).alias("word"), F.first("words").alias("rest"))
+        .select(F.col("game").alias("short_key"), "platform", "rest", "word", F.size("rest").alias("size"))
     )
-    shorter = sets.where(F.size(F.split("game", " ")) >= 2).select(
-        F.col("game").alias("short_key"), "platform", F.col("words").alias("rest")
-    )
-    pairs = reduced.where(F.size("rest") > 0).join(shorter, ["platform", "rest"]).select(
-        "platform", "short_key", F.col("game").alias("long_key"), "extra"
+    asked = words.select(
+        F.col("game").alias("long_key"), "platform", "words", "word", F.explode(F.array(F.size("words") - 1, F.size("words") - 2)).alias("size")
     )
+    met = listed.join(asked, ["platform", "word", "size"]).where(F.size(F.array_except("rest", "words")) == 0)
+    extra = F.array_except("words", "rest")
+    pairs = met.where(~F.exists(extra, variant_word)).select("platform", "short_key", "long_key", extra.alias("extra"))
     editions = _named_editions(assigned).select(F.col("game").alias("long_key"), "platform", "word")
     excluded = (
         pairs.withColumn("word", F.explode("extra"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricetide import vocab
 from pricetide.operators.listings import ListingQuery, listing_filter, narrowed, priced_listings
+from pricetide.operators.paging import SortKey, page
 from pricetide.operators.records import lows_and_runs, runs_in
 from pricetide.tables import GAME_KEY, LISTING_KEY, PriceTables
 
@@ -124,14 +125,10 @@ def games_view(t: PriceTables, query: ListingQuery = ListingQuery()) -> DataFram
     )
 
 
-def games_page(t: PriceTables, query: ListingQuery = ListingQuery()) -> DataFrame:
-    """One page of products.
-
-    By price, products that can be bought come first in both directions and
-    unpriced ones last; by title, the displayed one, ignoring case.
-    """
-    def toward(column: Column) -> Column:
-        return F.desc_nulls_last(column) if query.descending else F.asc_nulls_first(column)
+def games_order(query: ListingQuery) -> list[SortKey]:
+    """The order of a query's products; ``paging.cursor_of`` it, beside a page's last row, is the next page's cursor."""
+    def toward(column: Column) -> SortKey:
+        return SortKey(column, query.descending, not query.descending)
 
     if query.sort == "title":
         order = [toward(F.lower("title"))]
@@ -139,11 +136,15 @@ def games_page(t: PriceTables, query: ListingQuery = ListingQuery()) -> DataFram
         order = [toward(F.col("offers"))]
     else:
         price = F.col("best_price")
-        order = [F.asc(price.isNull()), F.desc("best_in_stock"), toward(price)]
+        order = [SortKey(price.isNull()), SortKey(F.col("best_in_stock"), True, False), toward(price)]
+    return [*order, *[SortKey(F.col(k)) for k in GAME_KEY]]
+
+
+def games_page(t: PriceTables, query: ListingQuery = ListingQuery()) -> DataFrame:
+    """One page of products, after a cursor or after an offset.
+
+    By price, products that can be bought come first in both directions and
+    unpriced ones last; by title, the displayed one, ignoring case.
+    """
     limit, offset = query.page
-    return (
-        games_view(t, query)
-        .orderBy(*order, *[F.asc(k) for k in GAME_KEY])
-        .offset(offset)
-        .limit(limit)
-    )
+    return page(games_view(t, query), games_order(query), limit, offset, query.after)

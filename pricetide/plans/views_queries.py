@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from pricetide.operators import facets, history, listings, movers, offers, records
+from pricetide.operators import facets, history, listings, movers, offers, records, title_index
 from pricetide.operators.listings import ListingQuery
+from pricetide.operators.paging import cursor_of
 from pricetide.plans.registry import query
+from pricetide.session import work_dir
 
 _POINT = "store_id, sku, point_id, run_id, captured_at, native_currency, native_price, inr_price, in_stock"
 _POINTS = [c.strip() for c in _POINT.split(",")]
@@ -205,6 +209,15 @@ def listings_page_stored(b):
     return listings.listings_page(b.stored_tables, q)
 
 
+@query("listings_page_after", f"SELECT {_PAGE} FROM {{offer}} WHERE buyable ORDER BY store DESC, store_id, sku LIMIT 80 OFFSET 60")
+def listings_page_after(b):
+    """The page after the one before it, whose last row is known, as who asks for it has seen it."""
+    q = ListingQuery(sort="store", direction="desc", in_stock_only=True, limit=60)
+    seen = listings.listings_page(b.tables, q).tail(1)
+    cursor = listings.listings_cursor(q, seen[0]) if seen else None
+    return listings.listings_page(b.tables, replace(q, limit=80, after=cursor))
+
+
 @query("movers_kept", _MOVER)
 def movers_kept(b):
     return movers.movers(b.kept_tables)
@@ -342,6 +355,32 @@ def game_offers_page(b):
     return listings.game_offers(b.tables, game, "SWITCH", ListingQuery(limit=500, offset=0))
 
 
+@query("games_page_after", f"""
+SELECT {_GAME} FROM {{game_view}} ORDER BY best_price IS NULL, best_in_stock DESC, best_price DESC NULLS LAST, game, platform
+LIMIT 90 OFFSET 40""")
+def games_page_after(b):
+    """The page after the one before it."""
+    q = ListingQuery(direction="desc", limit=40)
+    seen = offers.games_page(b.tables, q).select(cursor_of(offers.games_order(q)).alias("c")).tail(1)
+    return offers.games_page(b.tables, replace(q, limit=90, after=tuple(seen[0].c) if seen else None))
+
+
+@query("title_search", r"""
+SELECT store_id, sku, raw_title FROM {listing} WHERE contains(lower(raw_title), 'ue ring 1') OR contains(lower(raw_title), 'pokémon hot')""")
+def title_search(b):
+    """Two searches over one index."""
+    index = title_index.build(b.listing, work_dir(b.spark, "titles"), b.buckets)
+    found = [title_index.search(b.listing, index, term) for term in ("UE RING 1", "pokémon HOT")]
+    return found[0].unionByName(found[1]).select("store_id", "sku", "raw_title").distinct()
+
+
+@query("title_search_short", "SELECT store_id, sku, raw_title FROM {listing} WHERE contains(lower(raw_title), '7 ')")
+def title_search_short(b):
+    """Terms too short for the index read all titles."""
+    index = title_index.build(b.listing, work_dir(b.spark, "titles"), b.buckets)
+    return title_index.search(b.listing, index, "7 ").select("store_id", "sku", "raw_title")
+
+
 def _facet_sql(where: str, own: dict[str, str] | None = None, source: str = "listing") -> str:
     parts = []
     for name, column in facets.FACETS.items():

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricetide import PriceTables
-from pricetide.operators import audit, facets, history, listings, monitoring, movers, offers, upserts
+from pricetide.functions.titles import literal_contains
+from pricetide.operators import audit, facets, history, listings, monitoring, movers, offers, paging, title_index, upserts
 from pricetide.operators.fx import fx_asof
 from pricetide.operators.listings import ListingQuery
 
@@ -208,3 +209,55 @@ def test_history_stats_keep_the_earliest_of_equal_prices(spark):
     assert (row.now_price, row.low_price, row.low_at, row.high_price, row.high_at, row.n_prices, row.since) == (
         4.0, 3.0, day(1), 9.0, day(2), 6, day(0),
     )
+
+
+def test_pages_join_without_gap_or_repeat(spark, shop):
+    """Cursor after cursor, in every order and direction, over ties, NULLs and unpriced listings."""
+    extra = [(f"t{i}", "x", f"https://x/{i}", "Tie" if i % 3 else None, "SWITCH", "IN", "NEW", None, f"g{i % 4}") for i in range(12)]
+    listing = shop.listing.unionByName(spark.createDataFrame([(s[0], s[0], *s[2:]) for s in extra], LISTING).withColumn("store_id", F.lit("a")))
+    more = [point(100 + i, "a", f"t{i}", r, [7.0, None, 7.5, 9.0][i % 4] if r == 2 else 7.0) for i in range(12) for r in (1, 2)]
+    t = shop.with_(listing=listing, price_point=shop.price_point.unionByName(spark.createDataFrame(more, POINT)))
+    for sort in ("price", "title", "store", "seen", "change"):
+        for direction in ("asc", "desc"):
+            q = ListingQuery(sort=sort, direction=direction, limit=1000)
+            whole = [tuple(r) for r in listings.listings_page(t, q).collect()]
+            got, at = [], None
+            for _ in range(len(whole) // 7 + 2):
+                rows = listings.listings_page(t, ListingQuery(sort=sort, direction=direction, limit=7, after=at)).collect()
+                got += [tuple(r) for r in rows]
+                at = listings.listings_cursor(q, rows[-1]) if rows else at
+            assert got == whole and len(whole) > 2
+    for sort in ("price", "title", "offers"):
+        for direction in ("asc", "desc"):
+            q = ListingQuery(sort=sort, direction=direction, limit=1000)
+            whole = [tuple(r) for r in offers.games_page(t, q).collect()]
+            got, at = [], None
+            for _ in range(len(whole) // 3 + 2):
+                one = offers.games_page(t, ListingQuery(sort=sort, direction=direction, limit=3, after=at))
+                rows = one.select("*", paging.cursor_of(offers.games_order(q)).alias("c")).collect()
+                got += [tuple(r)[:-1] for r in rows]
+                at = tuple(rows[-1].c) if rows else at
+            assert got == whole
+
+
+def test_a_cursor_filters_before_the_sort(shop):
+    q = ListingQuery(limit=5, after=(3000.0, "a", "1"))
+    plan = listings.listings_page(shop, q)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Offset" not in plan and "3000.0" in plan
+    with pytest.raises(ValueError):
+        listings.listings_page(shop, ListingQuery(after=(1.0,)))
+
+
+def test_search_reads_postings_of_rare_pieces(spark, tmp_path):
+    titles = [f"Switch game {i % 50} {w}" for i in range(300) for w in ("zelda", "mario", "Ünïque")]
+    titles += ["Rarest zebra", "100% legit_name", "ab", "", None, "İstanbul zebra", "aaaa", "SWITCH\\game"]
+    rows = spark.createDataFrame([("s", str(i), t) for i, t in enumerate(titles)], "store_id string, sku string, raw_title string")
+    index = title_index.build(rows, str(tmp_path), 4)
+    for term in ("zebra", "ZEBRA", "switch", "game 49", "ünïque", "100% l", "legit_", "ab", "a", "", "zzz", "aaa", "aaaa", "aaaaa", "h\\g", "switch game 7 mario", "istanbul", "İSTANBUL"):
+        want = sorted(r.sku for r in rows.where(literal_contains(F.col("raw_title"), term)).collect())
+        assert sorted(r.sku for r in title_index.search(rows, index, term).collect()) == want, term
+    common = {r.piece for r in index.counts.where("not listed").collect()}
+    assert "swi" in common and index.postings.where(F.col("piece").isin(*common)).count() == 0
+    assert title_index.rarest(index, "zebra") and title_index.rarest(index, "switch") is None and title_index.rarest(index, "zzz") == []
+    plan = title_index.search(rows, index, "zebra")._jdf.queryExecution().executedPlan().toString()
+    assert "In(piece, [bra,ebr,zeb])" in plan.replace(", ", ",").replace("In(piece,", "In(piece, ")
