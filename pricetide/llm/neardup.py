@@ -47,6 +47,8 @@ SHINGLE_WORDS = 5
 BANDS = 40
 BAND_ROWS = 5
 HUBS = 3
+#: Text whose sets are made and sketched together, about.
+BLOCK_BYTES = 1 << 20
 #: Sets in buckets up to this size meet in a join; larger buckets are compared in blocks of sets.
 SMALL_BUCKET = 32
 BLOCK_SETS = 1_024
@@ -62,6 +64,7 @@ def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
     item = np.concatenate(sets) if sets else np.zeros(0, U)
     empty = np.iinfo(U).max
     cells = np.full(len(sets) * t, empty, U)
+    open_sets = np.arange(len(sets))  # those with an empty coordinate; most are full after a few rounds
     for turn in range(2 * t):
         if not len(item):
             break
@@ -73,9 +76,10 @@ def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
         free = cells[cell] == empty
         # the largest hash marks a free cell, so it counts as the one below it
         np.minimum.at(cells, cell[free], np.minimum(mix(thrown[free]), U(empty - 1)))
-        unfilled = (cells.reshape(len(sets), t) == empty).any(axis=1)
+        unfilled = (cells.reshape(len(sets), t)[open_sets] == empty).any(axis=1)
         if not unfilled.all():
-            still = unfilled[doc]
+            open_sets = open_sets[unfilled]
+            still = np.isin(doc, open_sets)
             doc, item = doc[still], item[still]
     return cells.reshape(len(sets), t)
 
@@ -86,14 +90,15 @@ def _signatures(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for start, encoded in blocks(texts):
+            for start, encoded in blocks(texts, BLOCK_BYTES):
                 sets = shingle_sets(encoded, k)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 full = [s for s in sets if len(s)]
                 keys = np.zeros((len(sets), 2), np.int64)
-                keys[sizes > 0] = np.array(
-                    [(mix(s).sum(dtype=U), mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U)) for s in full], U
-                ).reshape(-1, 2).view(np.int64)
+                if full:
+                    items, begins = np.concatenate(full), np.cumsum([0, *map(len, full[:-1])])
+                    for side, salt in enumerate((U(0), U(0xA5A5A5A5A5A5A5A5))):
+                        keys[sizes > 0, side] = np.add.reduceat(mix(items ^ salt), begins).view(np.int64)
                 cells = sketches(full, bands * rows).reshape(len(full), bands, rows)
                 bucket = np.broadcast_to(salts, cells.shape[:2])
                 for row in range(rows):
@@ -118,7 +123,7 @@ def _full_sets(k: int):
         seen: set[tuple[int, int]] = set()  # of rows that repeat, one a task is enough
         for batch in batches:
             ids, keys, often, texts = (batch.column(i).to_pylist() for i in range(4))
-            for start, encoded in blocks(texts):
+            for start, encoded in blocks(texts, BLOCK_BYTES):
                 out = []
                 for i, s in enumerate(shingle_sets(encoded, k), start):
                     if int(mix(s).sum(dtype=U).view(np.int64)) != keys[i] or (ids[i], keys[i]) in seen:

@@ -36,14 +36,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def blocks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of whole texts of about ``BLOCK_BYTES`` each: first position, encoded texts (null: empty)."""
+def blocks(texts: list[str | None], most: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of whole texts of about ``most`` bytes each: first position, encoded texts (null: empty)."""
     start, size, out = 0, 0, []
     for text in texts:
         data = text.encode("utf-8", "surrogatepass") if text else b""
         out.append(data)
         size += len(data)
-        if size >= BLOCK_BYTES:
+        if size >= most:
             yield start, out
             start, size, out = start + len(out), 0, []
     if out:
@@ -83,6 +83,12 @@ def hashed_words(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(begins, starts, side="right") - 1, span_hashes(data, starts, ends)
 
 
+def distinct(items: np.ndarray) -> np.ndarray:
+    """The different items, in order."""
+    ordered = np.sort(items)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)]]
+
+
 def shingle_sets(encoded: list[bytes], k: int) -> list[np.ndarray]:
     """Each text's distinct ``k``-word shingles as sorted hashes; fewer words: the whole sequence as one."""
     text, word = hashed_words(encoded)
@@ -94,7 +100,7 @@ def shingle_sets(encoded: list[bytes], k: int) -> list[np.ndarray]:
     sets = []
     for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if high - low >= k:
-            sets.append(np.unique(chained[low : high - k + 1]))
+            sets.append(distinct(chained[low : high - k + 1]))
         else:
             sets.append(upto[high - low - 1][low : low + 1] if high > low else word[:0])
     return sets
