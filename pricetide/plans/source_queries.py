@@ -294,6 +294,14 @@ def src_jsonld_products(b):
     return pages.jsonld_products(_pages(b)).select(*_FOUND)
 
 
+@query("rejected_blocks", """
+SELECT DISTINCT page_id, store_id, 'json-ld' AS layer, CAST(0 AS INTEGER) AS block, 'malformed' AS reason, '{{broken' AS start
+FROM {page_product} WHERE page % 3 = 0""".replace("{{", "{"))
+def rejected_blocks(b):
+    """The broken block beside each page's products."""
+    return pages.rejected_blocks(_pages(b))
+
+
 @query("src_embedded_state", f"SELECT {_FOUND_SQL} FROM {{page_product}} WHERE page % 3 = 1")
 def src_embedded_state(b):
     return pages.embedded_state(_pages(b)).select(*_FOUND)

@@ -141,3 +141,19 @@ def test_kept_state_says_the_same(priced):
 def test_filters_come_before_the_ranking(priced):
     plan = listings.listings_page(priced, ListingQuery(game="zelda", stores=(1,)))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("LeftSemi")
+
+
+def test_blocks_that_cannot_be_read_are_named(spark):
+    """Deep, cut and overlong ones; what was read before the place in question is still a product."""
+    block = '<script type="application/ld+json">{}</script>'
+    good = json.dumps({"@type": "Product", "name": "A", "url": "/a", "offers": {"price": 5}})
+    texts = ["[" * 100_000 + "]" * 100_000, '{"a":' * 100_000, good, "{", "", '{"a": ' + "1" * 5_000 + "}", f"[{good}"]
+    state = '<script>window.__INITIAL_STATE__ = {"a":' + "[" * 100_000 + "</script>"
+    found = page(spark, "".join(block.format(x) for x in texts) + state)
+    got = {(r["layer"], r["block"]): r["reason"] for r in as_dicts(pages.rejected_blocks(found))}
+    assert got == {
+        ("json-ld", 0): "nested too deep", ("json-ld", 1): "nested too deep", ("json-ld", 3): "malformed",
+        ("json-ld", 5): "number too long", ("json-ld", 6): "malformed", ("embedded-state", 0): "nested too deep",
+    }
+    assert [r["title"] for r in as_dicts(pages.jsonld_products(found))] == ["A"]
+    assert as_dicts(pages.rejected_blocks(page(spark, None))) == as_dicts(pages.rejected_blocks(page(spark, "<html>"))) == []

@@ -11,10 +11,10 @@ from pricetide.session import release
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="no test tables")
 
-PAGED = ["listings_page", "listings_page_kept", "games_page", "movers_page"]
+PAGED = ["listings_page", "listings_page_kept", "games_page", "movers_page", "game_offers", "game_offers_page"]
 NAMES = [
     "nth_latest", "listing_filter", "domestic_only", "movers", "movers_kept", "mover_store_filter", "price_history", "history_stats",
-    "games_best_offer", "lowest_ever", "at_lowest", "facets", "facets_self_excluding", "summary", "select_stores", "category_low",
+    "games_best_offer", "lowest_ever", "lowest_ever_kept", "history_stats_kept", "literal_contains", "price_note", "at_lowest", "facets", "facets_self_excluding", "summary", "select_stores", "category_low",
     "productivity_streak", "completeness", "audit_per_store", "fx_asof", "one_product_per_sku", *PAGED,
 ]
 
