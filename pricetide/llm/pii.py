@@ -22,6 +22,8 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricetide.functions.regex import let
+
 # The four kinds and their patterns.  Possessive quantifiers and
 # look-behinds match the same spans as the plain forms [A-Za-z0-9._%+-]+@...,
 # [0-9]+(\.[0-9]+)..., [0-9]([ -]?[0-9])+ without retrying inside a run.
@@ -38,9 +40,10 @@ NEEDS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){12}",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Looser patterns, proposed only.
+#: Looser patterns, proposed only.  Repeated groups are possessive: the regular
+#: expressions of the JVM match those in a loop, others by a call within a call per repeat.
 PROPOSED = {
-    "email_like": r"(?i)(?<![\w.%+-])[\w.%+-]{2,64}+ ?(?:\(at\)|\[at\]| at )\s?[a-z0-9-]{2,63}+(?: ?(?:\(dot\)|\[dot\]| dot )\s?[a-z0-9-]{2,63}+)+",
+    "email_like": r"(?i)(?<![\w.%+-])[\w.%+-]{2,64}+ ?(?:\(at\)|\[at\]| at )\s?[a-z0-9-]{2,63}+(?: ?(?:\(dot\)|\[dot\]| dot )\s?[a-z0-9-]{2,63}+)++",
     "number_like": r"(?<![\w+.-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}(?![\w.-])",
     "person_like": r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof)\.? \p{Lu}[\p{L}'-]++(?: \p{Lu}[\p{L}'-]++)?",
     "secret_like": r"(?i)(?<![a-z])(?:pass(?:word|wd|code)?|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[^\s\"',;]{6,}+[\"']?",
@@ -57,6 +60,8 @@ ROUNDS = 30
 #: Probability from which a proposed span is added.
 SURE = 0.9
 
+#: Matches of a text that are placed together.
+CHUNK = 256
 SPAN = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
 
 
@@ -77,8 +82,26 @@ def _matches(text: Column, pattern: str, needs: str) -> Column:
 
     empty = F.array().cast(SPAN)
     rows = F.transform(rows, lambda r: F.struct(r["gap"].alias("0"), r["hit"].alias("1"), r["next"].alias("2")))
-    walked = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda s: s["out"])
-    return F.when(text.rlike(needs), walked).otherwise(empty)
+
+    def walked(rows: Column) -> Column:
+        """Chunk by chunk, since adding to an array copies it: what is copied is a chunk, however many matches a text has."""
+
+        def chunk(c: Column) -> Column:
+            return F.slice(rows, c * CHUNK + 1, F.lit(CHUNK))
+
+        def size(total: Column, row: Column) -> Column:
+            return total + F.length(row["0"]) + F.coalesce(F.length(row["1"]), F.lit(0))
+
+        def from_places(at: Column) -> Column:
+            start = lambda c: F.struct(F.get(at, c).alias("at"), empty.alias("out"))
+            return F.flatten(F.transform(chunks, lambda c: F.aggregate(chunk(c), start(c), add, lambda s: s["out"])))
+
+        chunks = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int"))
+        sizes = F.transform(chunks, lambda c: F.aggregate(chunk(c), F.lit(0), size))
+        places = F.aggregate(sizes, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+        return let(places, from_places)
+
+    return F.when(text.rlike(needs), let(rows, walked)).otherwise(empty)
 
 
 def digits(hit: Column) -> Column:
