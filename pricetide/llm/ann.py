@@ -1,9 +1,15 @@
 """Approximate nearest neighbours by largest inner product, over learned partitions.
 
-On a bounded sample, the graph of nearest neighbours is cut into balanced
+Rows and queries play different parts, since a long row is near to many queries
+and a query's length does not matter.  With M the largest length of a row, rows
+are lengthened to (x, sqrt(M^2 - |x|^2)), all of length M, and queries to (x, 0): inner
+products stay the same, and among rows they now fall with distance.
+
+On a bounded sample, the graph of nearest lengthened rows is cut into balanced
 parts by repeated spectral bisection, and a small network learns in which parts
-a vector's neighbours lie.  Every row is then indexed under its most probable
-part.  A query goes to its most probable parts until they hold ``PROBE_MASS`` of its
+a row's neighbours lie.  Every row is then indexed under its most probable
+part.  A second network learns in which parts a query's nearest rows are
+indexed.  A query goes to its most probable parts until they hold ``PROBE_MASS`` of its
 probability, and what is there is reranked exactly.
 
 Parts are of uneven size wherever data are, so each is split into blocks of
@@ -39,11 +45,32 @@ BLOCK = 8_192
 QUERY_BLOCK = 1_024
 
 
-def neighbours(x: np.ndarray, count: int) -> np.ndarray:
-    """Indexes of the ``count`` rows of largest inner product, without the row itself."""
+def lengths(x: np.ndarray) -> np.ndarray:
+    """The length of each row, as a column; components that are huge or tiny do not overflow or vanish when squared."""
+    top = np.abs(x).max(axis=1, keepdims=True, initial=np.finfo(np.float64).tiny)
+    with np.errstate(over="ignore"):
+        return np.minimum(top * np.sqrt(np.square(x / top).sum(axis=1, keepdims=True)), np.finfo(np.float64).max)
+
+
+def lengthened(x: np.ndarray, most: float) -> np.ndarray:
+    """Rows of length 1 whose inner products with ``(query, 0)`` are in the proportion of the original ones."""
+    x = x / most
+    return np.hstack([x, np.sqrt(np.clip(1 - np.square(x).sum(axis=1, keepdims=True), 0, None))])
+
+
+def features(x: np.ndarray, most: float | None = None) -> np.ndarray:
+    """What a network sees: a direction and, of a row, how much shorter than the longest one it is."""
+    size = lengths(x)
+    short = np.zeros_like(size) if most is None else np.log(size) - np.log(most)
+    return np.hstack([x / size, short])
+
+
+def neighbours(x: np.ndarray, count: int, asked: np.ndarray | None = None) -> np.ndarray:
+    """Indexes of the ``count`` rows of largest inner product with each of ``asked``, or of ``x`` itself, without the row of the same place."""
+    asked = x if asked is None else asked
     out = np.empty((len(x), min(count, len(x) - 1)), np.int64)
     for start in range(0, len(x), 1024):
-        near = x[start : start + 1024] @ x.T
+        near = asked[start : start + 1024] @ x.T
         near[np.arange(len(near)), start + np.arange(len(near))] = -np.inf
         out[start : start + 1024] = np.argpartition(-near, out.shape[1] - 1, axis=1)[:, : out.shape[1]]
     return out
@@ -121,34 +148,52 @@ def train(x: np.ndarray, target: np.ndarray, seed: int = 4) -> list[np.ndarray]:
     return net
 
 
-def fit(rows: DataFrame) -> list[np.ndarray]:
-    """The routing network, from about ``SAMPLE`` rows of ``(vec_id, v)`` drawn by a hash of the id."""
+def shares(parts: np.ndarray, count: int) -> np.ndarray:
+    """Per row of ``parts``, the share of each part."""
+    out = np.zeros((len(parts), count))
+    np.add.at(out, (np.repeat(np.arange(len(parts)), parts.shape[1]), parts.ravel()), 1.0 / parts.shape[1])
+    return out
+
+
+def fit(rows: DataFrame) -> dict:
+    """The networks of rows and queries and the largest length, the networks from about ``SAMPLE`` rows of ``(vec_id, v)`` drawn by a hash of the id."""
     share = min(1.0, SAMPLE / max(1, rows.count()))
     drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).collect()
     drawn.sort(key=lambda r: (r["vec_id"], r["v"]))
     x = np.array([r["v"] for r in drawn])
-    x = x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else np.zeros((0, 1))
+    x = x if len(x) else np.zeros((0, 1))
+    most = rows.agg(F.max(_length("v"))).first()[0] or 1.0
     parts = 1
     while parts < PARTS and len(x) >= 2 * parts * ROWS_PER_PART:
         parts *= 2
     if parts == 1:
-        return [np.zeros((x.shape[1], HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, 1)), np.zeros(1)]
-    graph = neighbours(x, NEIGHBOURS)
-    part = partitioned(graph, parts)
-    target = np.zeros((len(x), parts))
-    np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].ravel()), 1.0 / graph.shape[1])
-    return train(x, target)
+        net = [np.zeros((x.shape[1] + 1, HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, 1)), np.zeros(1)]
+        return {"most": most, "rows": net, "queries": net}
+    held = lengthened(x, most)
+    graph = neighbours(held, NEIGHBOURS)
+    of_rows = train(features(x, most), shares(partitioned(graph, parts)[graph], parts))
+    part = probabilities(features(x, most), of_rows).argmax(axis=1)
+    wanted = neighbours(held, NEIGHBOURS, np.hstack([x / lengths(x), np.zeros((len(x), 1))]))
+    return {"most": most, "rows": of_rows, "queries": train(features(x), shares(part[wanted], parts))}
+
+
+def _length(column: str) -> Column:
+    """The length of a vector, at most the largest double."""
+    top = F.array_max(F.transform(column, F.abs))
+    total = F.aggregate(F.transform(column, lambda x: (x / top) * (x / top)), F.lit(0.0), lambda a, b: a + b)
+    return F.least(top * F.sqrt(total), F.lit(float(np.finfo(np.float64).max)))
 
 
 def _routed(shared, mass: float, held: list[int] | None, least: int):
-    """``(vec_id, v, parts)``: the most probable part, or with ``held`` (rows per part) as many as a query asks."""
+    """``(vec_id, v, parts)``: a row's most probable part, or with ``held`` (rows per part) as many as a query asks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-            p = probabilities(x / np.linalg.norm(x, axis=1, keepdims=True), shared.value)
+            model = shared.value
+            p = probabilities(features(x, model["most"]), model["rows"]) if held is None else probabilities(features(x), model["queries"])
             order = np.argsort(-p, axis=1, kind="stable")
             if held is None:
                 wanted = np.ones(len(x), np.int64)
@@ -204,9 +249,9 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, mass: float = PROBE_
     further parts until those hold more than ``k`` rows.
     """
     rows = usable(vectors).where(F.exists("v", lambda x: x != 0))
-    net = fit(rows)
-    parts = len(net[3])
-    shared = rows.sparkSession.sparkContext.broadcast(net)
+    model = fit(rows)
+    parts = len(model["rows"][3])
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     schema = "vec_id long, v array<double>, parts array<int>"
     placed = keep(rows.mapInArrow(_routed(shared, mass, None, 0), schema).select("vec_id", "v", F.col("parts")[0].alias("part")))
     held = [0] * parts
