@@ -88,6 +88,16 @@ def test_possible_splits_agree_with_comparing_all_pairs(spark):
     assert got == want
 
 
+def test_possible_splits_of_long_keys(spark):
+    """Sixty words: nothing is spelled out but the words."""
+    words = ["".join("abcdefgh"[int(d)] for d in f"{i:03o}") for i in range(60)]
+    keys = [words, words[:59], words[1:59], words[:57], words[:58] + ["zz"], words[:1], words[3:5], [*words[3:5], "yy"]]
+    names = [" ".join(k) for k in keys]
+    df = spark.createDataFrame([("s", str(i), n, "SWITCH", "IN", n) for i, n in enumerate(names)], LISTING)
+    got = {(names.index(r.short_key), names.index(r.long_key)) for r in matching.subset_key_join(df).collect()}
+    assert got == {(1, 0), (2, 0), (2, 1), (3, 1), (3, 4), (6, 7)}
+
+
 def test_redirect_chains_and_cycles(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "z"), ("z", "x"), ("in", "x"), ("self", "self")]
     redirects = spark.createDataFrame([(o, "P", n) for o, n in pairs], "old_title string, platform string, new_title string")
