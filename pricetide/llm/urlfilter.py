@@ -24,9 +24,13 @@ from pricetide.llm.components import components
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that name where a visitor came from, not what is shown.
 TRACKING = r"(?i)^(?:utm_[^=]*|ref|gclid|fbclid|msclkid|mc_[ce]id)(?:=|$)"
-CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-SHARED = r"(?is)<meta\b(?=[^>]*\bproperty\s*=\s*[\"']?og:url\b)[^>]*\bcontent\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?\s*[0-9.]+\s*[;,]\s*url\s*=\s*[\"']?([^\"'\s>]+)"
+#: A kind of tag, what makes one a link, and where it leads.  Tags are cut out first, so that each is read once, closed or not.
+CANONICAL = ("link", r"(?i)\brel\s*+=\s*+[\"']?canonical\b", r"(?i)\bhref\s*+=\s*+[\"']?([^\"'\s>]+)")
+SHARED = ("meta", r"(?i)\bproperty\s*+=\s*+[\"']?og:url\b", r"(?i)\bcontent\s*+=\s*+[\"']?([^\"'\s>]+)")
+REFRESH = (
+    "meta", r"(?i)\bhttp-equiv\s*+=\s*+[\"']?refresh\b",
+    r"(?i)\bcontent\s*+=\s*+[\"']?\s*+[0-9.]++\s*+[;,]\s*+url\s*+=\s*+[\"']?([^\"'\s>]+)",
+)
 
 
 def _rest(url: Column) -> Column:
@@ -75,8 +79,11 @@ def linked(html: Column) -> Column:
     """The links of a page that say it is another page under another address."""
     none = F.array().cast("array<string>")
 
-    def of(word: str, pattern: str) -> Column:
-        return F.when(html.rlike(f"(?i){word}"), F.regexp_extract_all(html, F.lit(pattern), F.lit(1))).otherwise(none)
+    def of(word: str, link: tuple[str, str, str]) -> Column:
+        tag, marked, target = link
+        tags = F.filter(F.regexp_extract_all(html, F.lit(rf"(?i)<{tag}\b[^<>]*+"), F.lit(0)), lambda t: t.rlike(marked))
+        to = F.filter(F.transform(tags, lambda t: F.regexp_extract(t, target, 1)), lambda x: x != "")
+        return F.when(html.rlike(f"(?i){word}"), to).otherwise(none)
 
     return F.coalesce(F.concat(of("canonical", CANONICAL), of("og:url", SHARED), of("http-equiv", REFRESH)), none)
 

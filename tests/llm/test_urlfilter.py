@@ -57,3 +57,11 @@ def test_only_column_expressions(spark):
     df = spark.createDataFrame([(1, "http://x.com/de/1", None)], "page_id long, url string, html string")
     plan = urlfilter.judge(df, spark.createDataFrame(RULES, "host string, path string, verdict string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_pages_of_unclosed_tags_are_read_once(spark):
+    """Hundreds of kilobytes of tags that never close, and links among them."""
+    link = "<link rel='canonical' href='http://x.com/de/1'>"
+    many = ["<link " * 60_000, "<link rel=canonical " * 20_000 + link, "<meta " * 60_000 + " content=", "<link" + " " * 400_000 + "rel" + " " * 100_000, "<meta property=og:url content=" * 10_000]
+    got = judged(spark, [(f"http://a{i}.net/", page) for i, page in enumerate(many)] + [("http://b.net/", "<LINK\nhref=//x.com/de/2\n rel = canonical>")])
+    assert [got[i][3] for i in range(6)] == ["allow", "block", "allow", "allow", "allow", "block"]
