@@ -36,6 +36,8 @@ QUERY_BLOCK = 256
 BETWEEN_LOOKS = 64
 #: Share of a block's rows that is rescored rather than accumulated further.
 RESCORED = 0.05
+#: What the products of all dimensions together stay below: bounds take twice as much, and a long holds eight times it.
+LARGEST = 2.0**60
 
 
 class Index:
@@ -104,11 +106,13 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 5, scale: int = SCALE) ->
     Components become floor(``scale`` * x) and the score is their integer inner product;
     ties go to the smaller id.  Candidates are all rows with another id; with
     fewer than ``k`` all are returned.  Vectors that are null, empty, of another
-    length than most, or hold a null or non-finite component take no part; a zero
-    vector does.  Rows that share an id are candidates each, and ask once,
+    length than most, or hold a null or non-finite component take no part; nor do
+    those with a component so large that a score, or a bound of one, might not fit a long
+    (``LARGEST``).  A zero vector does.  Rows that share an id are candidates each, and ask once,
     by the smallest vector.
     """
-    whole = usable(vectors).select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
+    fits = F.forall("v", lambda x: F.abs(x * scale) <= F.sqrt(F.lit(LARGEST) / F.size("v")))
+    whole = usable(vectors).where(fits).select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
     rows = keep(whole)
     asks = rows.where(asked).groupBy("vec_id").agg(F.min("v").alias("v"))
     row_blocks = max(1, -(-rows.count() // BLOCK))

@@ -107,3 +107,41 @@ def test_blocks_do_not_change_the_result(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 100)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 10)
     assert collected(topk.top_k(frame(spark, rows), F.col("vec_id") % 20 == 0, 5)) == brute(rows, 20, 5, floor, True)
+
+
+@pytest.mark.parametrize("sigma", [0.0, 0.5, 1.0])
+def test_recall_by_inner_product(spark, monkeypatch, sigma):
+    """Lengths that differ by log-normal factors; nine rows in ten are outside the sample."""
+    monkeypatch.setattr(ann, "SAMPLE", 1_600)
+    draw = np.random.default_rng(7)
+    centers = draw.normal(size=(30, 32))
+    x = centers[draw.integers(0, 30, 16_000)] + draw.normal(size=(16_000, 32))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) * np.exp(sigma * draw.normal(size=(16_000, 1)))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = []
+    for i in range(0, len(x), 20):
+        near = x @ x[i]
+        near[i] = -np.inf
+        hits.append(len(set(np.argsort(-near)[:20].tolist()) & got[i]) / 20)
+    print("recall", sigma, np.mean(hits))
+    assert np.mean(hits) >= 0.9
+
+
+def test_huge_and_tiny_components_are_searched(spark):
+    rows = [(20, [1e150, 0.0]), (1, [1e-300, 0.0]), (2, [2e-300, 1e-320]), (3, [-1e150, 1.0]), (40, [1e-310, 0.0]), (5, [1e300, 1e300])]
+    got = collected(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 4))
+    assert [(q, n, i) for q, n, i, _ in got if q == 20] == [(20, 1, 5), (20, 2, 2), (20, 3, 1), (20, 4, 40)]
+    assert len([r for r in got if r[0] == 40]) == 4
+
+
+def test_components_that_no_long_can_score_take_no_part(spark):
+    big = 2.0**60 / 512  # squared and scaled far beyond a long
+    edge = math.sqrt(2.0**60 / 2) / 256
+    rows = [(20, [1.0, 0.0]), (1, [big, 0.0]), (2, [1e300, 1.0]), (3, [0.5, 0.5]), (4, [edge * 0.999, -edge * 0.999]), (40, [edge * 0.999, edge * 0.999]), (5, [-edge * 0.999, edge * 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    floor = lambda x: math.floor(256 * x)
+    kept = [r for r in rows if r[0] not in (1, 2)]
+    assert collected(topk.top_k(df, F.col("vec_id") % 20 == 0, 3)) == brute(kept, 20, 3, floor, True)
