@@ -191,17 +191,17 @@ def test_a_small_batch_writes_little(spark, tmp_path):
 
 @pytest.mark.parametrize("fan", [2, 3])
 def test_stream_state_equals_the_batch_after_every_batch(spark, tmp_path, fan):
-    every = spark.createDataFrame([], POINT)
+    every = spark.createDataFrame([], POINT).coalesce(1)
     newest = Levels(str(tmp_path / "newest"), history.two_newest, fan)
     record = Levels(str(tmp_path / "record"), records.merged, fan)
     assert newest.last(spark) == -1
     for batch in range(9):
-        some = spark.createDataFrame(points(batch, n=0 if batch == 2 else 40, first=1000 * batch), POINT)
+        some = spark.createDataFrame(points(batch, n=0 if batch == 2 else 40, first=1000 * batch), POINT).coalesce(1)
         every = every.unionByName(some)
         for _ in range(1 + batch % 2):  # every other batch is repeated
             newest.write(history.two_newest(some), batch)
             record.write(records.records(some), batch)
-        if batch in (0, 3, 7, 8):
+        if batch in (3, 7, 8):
             assert rows_of(newest.read(spark)) == rows_of(history.two_newest(every))
             assert rows_of(records.merged(record.read(spark))) == rows_of(records.records(every))
     assert newest.last(spark) == 8
