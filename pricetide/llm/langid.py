@@ -7,8 +7,11 @@ dictionaries of different texts and their sizes are added up, which resolves
 short texts more finely than one compressed size in bytes could.
 
 The dictionaries are fitted on a bounded sample: ``DOCS_PER_LANGUAGE`` rows of
-each language and ``CHARS_PER_DOC`` characters from the middle of each.  What is
-classified is always the whole text, in chunks of ``CHUNK_BYTES``.
+each language, whatever their number, and ``CHARS_PER_DOC`` characters from the
+middle of each; of a language with fewer rows as many more, so that a few long texts
+teach as much as many short ones.  Every language is learned; what is kept
+grows with their number, about half a megabyte each.  What is classified is
+always the whole text, in chunks of ``CHUNK_BYTES``.
 """
 
 from __future__ import annotations
@@ -35,7 +38,6 @@ UNDETERMINED = "und"
 SHARDS = 2
 DOCS_PER_LANGUAGE = 400
 CHARS_PER_DOC = 600
-MAX_LANGUAGES = 256
 CHUNK_BYTES = 2 << 10
 #: Bytes of difference in compressed size, over all shards, that halve a rival's share in the score.
 BYTES_PER_HALVING = 2.0
@@ -62,23 +64,26 @@ def fit(docs: DataFrame, learn_from: Column | None = None) -> Dictionaries:
         F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang",
         (F.lit(True) if learn_from is None else learn_from).alias("learn"),
     ).where("learn and lang is not null").where(has_letter(F.col("text")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()  # a row a language
     if not counts:
         return Dictionaries([], [])
     # twice as many rows as wanted, by a hash of the id, then the first ones in the order of another hash
-    shares = [(r["lang"], min(1.0, 2 * DOCS_PER_LANGUAGE / r["count"])) for r in counts]
-    share = docs.sparkSession.createDataFrame(shares, "lang string, share double")
-    middle = F.greatest((F.length("text") - CHARS_PER_DOC) / 2, F.lit(0)).cast("int")
+    shares = [
+        (r["lang"], min(1.0, 2 * DOCS_PER_LANGUAGE / r["count"]), DOCS_PER_LANGUAGE * CHARS_PER_DOC // min(r["count"], DOCS_PER_LANGUAGE))
+        for r in counts
+    ]
+    share = docs.sparkSession.createDataFrame(shares, "lang string, share double, chars int")
+    middle = F.greatest((F.length("text") - F.col("chars")) / 2, F.lit(0)).cast("int")
     drawn = (
-        rows.join(F.broadcast(share), "lang")  # at most MAX_LANGUAGES rows
+        rows.join(F.broadcast(share), "lang")  # a row a language
         .where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(""))), F.lit(1 << 30)) < F.col("share") * float(1 << 30))
-        .select("lang", F.xxhash64(F.lit(1), "doc_id").alias("turn"), F.substring(F.col("text"), middle + 1, F.lit(CHARS_PER_DOC)).alias("part"))
+        .select("lang", F.xxhash64(F.lit(1), "doc_id").alias("turn"), F.substring(F.col("text"), middle + 1, F.col("chars")).alias("part"))
         .distinct()
         .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "part")))
         .where(F.col("nth") <= DOCS_PER_LANGUAGE)
         .collect()
     )
-    languages = sorted(lang for lang, _ in shares)
+    languages = sorted(lang for lang, *_ in shares)
     shards = []
     for lang in languages:
         parts = [normalised(r["part"]) for r in sorted((r for r in drawn if r["lang"] == lang), key=lambda r: r["nth"])]

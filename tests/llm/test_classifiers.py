@@ -80,6 +80,41 @@ def test_language_of_odd_rows(spark):
     assert {r["lang_pred"] for r in langid.classify(docs, nothing, ["doc_id"]).collect()} == {"und"}
 
 
+def test_every_language_is_learned_and_few_long_texts_teach_all_they_hold(spark):
+    many = [(i, f"{chr(0x4E00 + 3 * i)}{chr(0x4E01 + 3 * i)}{chr(0x4E02 + 3 * i)} " * 5, f"l{i:03}") for i in range(300)]
+    long = " ".join(f"palabra{i} {'abcdefgh'[i % 8] * (i % 5 + 1)}" for i in range(20_000))
+    docs = spark.createDataFrame([*many, (900, long, "es")], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.languages) == 301
+    held = model.shards[model.languages.index("es")][0]
+    assert len(held) > 150_000  # not six hundred characters of the one text there is
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.classify(docs.where("doc_id in (0, 150, 299)"), model, ["doc_id"]).collect()}
+    assert got == {0: "l000", 150: "l150", 299: "l299"}
+
+
+def test_predictions_are_the_smallest_sizes(spark):
+    """Text by text: compressed behind each dictionary, added up, the smallest wins, the first of equals."""
+    import zstandard
+
+    docs = spark.createDataFrame(
+        [(i, " ".join(["the cat sat on", "le chat sur la", "die katze auf der"][i % 3].split()[: i % 4 + 1] * (i % 7 + 1)), "x") for i in range(40)],
+        "doc_id long, text string, source string",
+    )
+    model = langid.fit(docs.withColumn("lang", F.element_at(F.array(F.lit("en"), F.lit("fr"), F.lit("de")), (F.col("doc_id") % 3 + 1).cast("int"))))
+    how = zstandard.ZstdCompressionParameters(
+        window_log=19, hash_log=17, chain_log=17, search_log=4, min_match=3, target_length=32, strategy=zstandard.STRATEGY_GREEDY,
+        write_checksum=0, write_dict_id=0, write_content_size=0,
+    )
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in langid.classify(docs, model, ["doc_id"]).collect():
+        data, total = langid.normalised(texts[r["doc_id"]]), []
+        for shards in model.shards:
+            dicts = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in shards]
+            total.append(sum(len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(data)) for d in dicts))
+        assert r["lang_pred"] == model.languages[total.index(min(total))]
+        assert r["score"] == pytest.approx(1 / sum(2 ** ((min(total) - t) / langid.BYTES_PER_HALVING) for t in total))
+
+
 def test_rows_held_out_teach_nothing(spark):
     docs = spark.createDataFrame([(i, "hola mundo" if i % 2 else "hello world", "es" if i % 2 else "en") for i in range(20)], "doc_id long, text string, lang string")
     assert langid.fit(docs, F.col("doc_id") % 2 == 0).languages == ["en"]
