@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricetide import vocab
 from pricetide.functions import charmap
 from pricetide.functions.platforms import platform_of, unmark
-from pricetide.functions.regex import let, matches, pattern, squeeze
+from pricetide.functions.regex import let, matches, once, pattern, squeeze
 
 _OPEN, _CLOSE = "\x01", "\x02"
 
@@ -118,7 +118,8 @@ def match_key(title: Column) -> Column:
 
 
 def with_match_key(df: DataFrame, title: str, out: str) -> DataFrame:
-    return df.withColumn(out, match_key(F.col(title)))
+    """Add the grouping key of a title; no filter on it computes it again."""
+    return once(df, {out: match_key(F.col(title))})
 
 
 def word_set(key: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pricetide.functions.platforms import named_platform
 from pricetide.functions.titles import confirmed_prefix_rest, variant_word, with_match_key, word_set
+from pricetide.functions.regex import once
 from pricetide.operators.common import first_row, top_rows
 from pricetide.session import hold
 from pricetide.tables import LISTING_KEY
@@ -41,9 +42,8 @@ def keyed_titles(listing: DataFrame) -> DataFrame:
     titles = listing.groupBy("raw_title", F.col("platform").alias("stored_platform")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    return with_match_key(titles, "raw_title", "key").withColumn(
-        "platform", platform_relabel(F.col("raw_title"), F.col("stored_platform"))
-    )
+    relabelled = {"platform": platform_relabel(F.col("raw_title"), F.col("stored_platform"))}
+    return once(with_match_key(titles, "raw_title", "key"), relabelled)
 
 
 def _groupable(titles: DataFrame) -> DataFrame:
@@ -97,13 +97,13 @@ def key_mapping(keys: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     The keys with their confirmed prefixes gone are held: every later step
     reads them, some twice.
     """
-    once = hold(_follow(keys.withColumn("game", F.col("key")), "game", confirmed_prefix_join(keys), "stripped"))
-    uses = once.groupBy(F.col("game").alias("key"), "platform").agg(F.sum("n").alias("uses"))
+    plain = hold(_follow(keys.withColumn("game", F.col("key")), "game", confirmed_prefix_join(keys), "stripped"))
+    uses = plain.groupBy(F.col("game").alias("key"), "platform").agg(F.sum("n").alias("uses"))
     canonical = hold(canonical_keys(uses))
-    final = _follow(once, "game", canonical, "canonical").select(*PAIR, "game")
+    final = _follow(plain, "game", canonical, "canonical").select(*PAIR, "game")
     if aliases is None:
         return final
-    stripped = once.where("key <> game").select(*PAIR, F.col("game").alias("stripped"))
+    stripped = plain.where("key <> game").select(*PAIR, F.col("game").alias("stripped"))
     return alias_join(final, aliases_by_key(aliases), stripped, canonical)
 
 
