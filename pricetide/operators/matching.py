@@ -174,10 +174,13 @@ def game_redirects(assigned: DataFrame, existing: DataFrame | None = None) -> Da
     over several it is ambiguous and nothing is recorded.  An existing
     redirect is replaced by a newer one and removed once its key is live again.
     ``stored_platform``/``stored_game`` name the product as it was.
+
+    Which products became which is asked twice, so it is held; the listings are read once.
     """
+    became = hold(assigned.select("stored_game", "stored_platform", "game", "platform").distinct())
     old = [F.col("stored_game").alias("old_title"), F.col("stored_platform").alias("platform")]
     moved = (
-        assigned.where(F.col("stored_game").isNotNull())
+        became.where(F.col("stored_game").isNotNull())
         .groupBy(*old)
         .agg(
             F.min("game").alias("new_title"),
@@ -190,7 +193,7 @@ def game_redirects(assigned: DataFrame, existing: DataFrame | None = None) -> Da
     if existing is not None:
         key = ["old_title", "platform"]
         moved = existing.select(*key, "new_title").join(moved, key, "left_anti").unionByName(moved)
-    live = assigned.where(F.col("game").isNotNull()).select(F.col("game").alias("old_title"), "platform").distinct()
+    live = became.where(F.col("game").isNotNull()).select(F.col("game").alias("old_title"), "platform").distinct()
     return moved.join(live, ["old_title", "platform"], "left_anti")
 
 
