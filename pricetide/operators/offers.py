@@ -140,11 +140,11 @@ def games_order(query: ListingQuery) -> list[SortKey]:
     return [*order, *[SortKey(F.col(k)) for k in GAME_KEY]]
 
 
-def games_page(t: PriceTables, query: ListingQuery = ListingQuery()) -> DataFrame:
-    """One page of products, after a cursor or after an offset.
+def games_page(t: PriceTables, query: ListingQuery = ListingQuery(), view: DataFrame | None = None) -> DataFrame:
+    """One page of products, after a cursor or after an offset; of ``view``, where a ``games_view`` is at hand.
 
     By price, products that can be bought come first in both directions and
     unpriced ones last; by title, the displayed one, ignoring case.
     """
     limit, offset = query.page
-    return page(games_view(t, query), games_order(query), limit, offset, query.after)
+    return page(games_view(t, query) if view is None else view, games_order(query), limit, offset, query.after)

@@ -10,7 +10,8 @@ from pricetide.operators import facets, history, listings, movers, offers, recor
 from pricetide.operators.listings import ListingQuery
 from pricetide.operators.paging import cursor_of
 from pricetide.plans.registry import query
-from pricetide.session import work_dir
+from pricetide.session import hold, work_dir
+from pricetide.tables import LISTING_KEY
 
 _POINT = "store_id, sku, point_id, run_id, captured_at, native_currency, native_price, inr_price, in_stock"
 _POINTS = [c.strip() for c in _POINT.split(",")]
@@ -213,7 +214,7 @@ def listings_page_stored(b):
 def listings_page_after(b):
     """The page after the one before it, whose last row is known, as who asks for it has seen it."""
     q = ListingQuery(sort="store", direction="desc", in_stock_only=True, limit=60)
-    seen = listings.listings_page(b.tables, q).tail(1)
+    seen = listings.listings_page(b.tables, q).select(q.sort_column, *LISTING_KEY).tail(1)  # of the page, only what makes its cursor
     cursor = listings.listings_cursor(q, seen[0]) if seen else None
     return listings.listings_page(b.tables, replace(q, limit=80, after=cursor))
 
@@ -359,10 +360,11 @@ def game_offers_page(b):
 SELECT {_GAME} FROM {{game_view}} ORDER BY best_price IS NULL, best_in_stock DESC, best_price DESC NULLS LAST, game, platform
 LIMIT 90 OFFSET 40""")
 def games_page_after(b):
-    """The page after the one before it."""
+    """The page after the one before it, both of one held view."""
     q = ListingQuery(direction="desc", limit=40)
-    seen = offers.games_page(b.tables, q).select(cursor_of(offers.games_order(q)).alias("c")).tail(1)
-    return offers.games_page(b.tables, replace(q, limit=90, after=tuple(seen[0].c) if seen else None))
+    view = hold(offers.games_view(b.tables, q))
+    seen = offers.games_page(b.tables, q, view).select(cursor_of(offers.games_order(q)).alias("c")).tail(1)
+    return offers.games_page(b.tables, replace(q, limit=90, after=tuple(seen[0].c) if seen else None), view)
 
 
 @query("title_search", r"""
