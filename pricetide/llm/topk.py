@@ -49,6 +49,13 @@ class Index:
         self.impact = np.take_along_axis(x.T, self.order, axis=1)
         edges = np.linspace(0, len(x), min(SEGMENT_LEVELS, len(x)) + 1).astype(np.int64)
         self.cuts = np.stack([edges[:-1], edges[1:]], axis=1)
+        # segments of one length, so that many are taken at once: the shorter ones end with row ``len(x)``, which is none
+        place = self.cuts[:, :1] + np.arange(np.diff(edges).max(initial=0))
+        inside = place < self.cuts[:, 1:]
+        place = np.where(inside, place, 0)
+        self.rows = np.where(inside, self.order[:, place], len(x)).reshape(-1, place.shape[1])
+        self.impacts = self.impact[:, place].reshape(-1, place.shape[1])
+        self.room = np.empty((2, BETWEEN_LOOKS, place.shape[1]), np.int64)
 
     def best(self, w: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
         """Rows among which the ``k`` best are for certain, ties included; ``own`` marks rows that do not count."""
@@ -65,17 +72,26 @@ class Index:
         turn = np.lexsort((np.tile(np.arange(levels), dims), -(gain // quantum).ravel()))
         after = np.concatenate([gain[:, 1:], np.zeros((dims, 1), gain.dtype)], axis=1)
         may = gain[:, 0].copy()
-        total = np.zeros(n, np.int64)
-        for done, at in enumerate(turn.tolist(), start=1):
-            d, level = divmod(at, levels)
-            low, high = self.cuts[levels - 1 - level] if rising[d] else self.cuts[level]
-            total[self.order[d, low:high]] += w[d] * self.impact[d, low:high] - least[d]
-            may[d] = after[d, level]
-            if done % BETWEEN_LOOKS == 0:
-                counted = np.where(own, -1, total)
+        dim, level = np.divmod(turn, levels)
+        segment = dim * levels + np.where(rising[dim], levels - 1 - level, level)
+        weight, under = w[dim, None], least[dim, None]
+        total = np.zeros(n + 1, np.int64)
+        for start in range(0, len(turn), BETWEEN_LOOKS):
+            now = slice(start, start + BETWEEN_LOOKS)
+            rows, gained = self.room[:, : len(segment[now])]
+            self.rows.take(segment[now], axis=0, out=rows, mode="clip")
+            self.impacts.take(segment[now], axis=0, out=gained, mode="clip")
+            gained *= weight[now]
+            gained -= under[now]
+            np.add.at(total, rows.ravel(), gained.ravel())
+            np.minimum.at(may, dim[now], after[dim[now], level[now]])
+            reached = total[:n]
+            if reached.max() - may.sum() > reached.mean():  # else too many rows may still be among the best
+                counted = np.where(own, -1, reached)
                 possible = counted + may.sum() >= np.partition(counted, -k)[-k]
                 if possible.sum() <= max(k, RESCORED * n):
                     return np.flatnonzero(possible & ~own)
+        total = total[:n]
         counted = np.where(own, -1, total)
         return np.flatnonzero((counted >= np.partition(counted, -k)[-k]) & ~own)
 

@@ -145,3 +145,19 @@ def test_components_that_no_long_can_score_take_no_part(spark):
     floor = lambda x: math.floor(256 * x)
     kept = [r for r in rows if r[0] not in (1, 2)]
     assert collected(topk.top_k(df, F.col("vec_id") % 20 == 0, 3)) == brute(kept, 20, 3, floor, True)
+
+
+@pytest.mark.parametrize("n", [6, 17, 1000, 1003])
+def test_segments_are_taken_many_at_once(n):
+    """Segments of unequal lengths are filled up with a row that is none."""
+    draw = np.random.default_rng(n)
+    x = draw.integers(-40, 41, (n, 9))
+    index = topk.Index(x)
+    levels = min(topk.SEGMENT_LEVELS, n)
+    assert index.rows.shape == index.impacts.shape == (9 * levels, -(-n // levels))
+    assert sorted(index.rows[index.rows < n].tolist()) == sorted(list(range(n)) * 9)
+    for w in (x[2], draw.integers(-200, 201, 9)):
+        own = np.arange(n) == 2
+        at, score = index.best(w, 3, own), x @ w
+        want = np.lexsort((np.arange(n), -np.where(own, -(10**9), score)))[:3]
+        assert at[np.lexsort((at, -score[at]))[:3]].tolist() == want.tolist()
