@@ -13,6 +13,7 @@ buckets differ little; their number is the caller's, and grows with the table.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +31,14 @@ LAYOUT = {
 
 def store_keyed(df: DataFrame, path: str, keys: list[str], order: list[str], buckets: int) -> None:
     """Write ``df`` under ``path`` in ``buckets`` buckets by ``keys``, one sorted file each."""
+    store_dealt(df.repartition(buckets, *keys), path, keys, order, buckets)
+
+
+def store_dealt(dealt: DataFrame, path: str, keys: list[str], order: list[str], buckets: int) -> None:
+    """``store_keyed`` of rows that lie in ``buckets`` partitions by ``keys`` already."""
     name = f"stored_{uuid.uuid4().hex}"
-    dealt = df.repartition(buckets, *keys)
     dealt.write.bucketBy(buckets, *keys).sortBy(*order).option("path", path).saveAsTable(name)
-    df.sparkSession.sql(f"DROP TABLE {name}")  # the files stay
+    dealt.sparkSession.sql(f"DROP TABLE {name}")  # the files stay
 
 
 def read_keyed(spark: SparkSession, path: str, schema: StructType, keys: list[str], order: list[str], buckets: int) -> DataFrame:
@@ -45,17 +50,16 @@ def read_keyed(spark: SparkSession, path: str, schema: StructType, keys: list[st
     return spark.table(name)
 
 
-def store_tables(t: PriceTables, path: str, buckets: int) -> None:
-    """Write the tables of ``t`` that ``LAYOUT`` names under ``path``."""
-    for name, (keys, order) in LAYOUT.items():
-        store_keyed(getattr(t, name), f"{path}/{name}", keys, order, buckets)
+def store_tables(t: PriceTables, path: str, buckets: int, names: Iterable[str] = tuple(LAYOUT)) -> None:
+    """Write the tables of ``t`` that ``LAYOUT`` names, or some of them, under ``path``."""
+    for name in names:
+        store_keyed(getattr(t, name), f"{path}/{name}", *LAYOUT[name], buckets)
 
 
-def stored_tables(t: PriceTables, path: str, buckets: int) -> PriceTables:
+def stored_tables(t: PriceTables, path: str, buckets: int, names: Iterable[str] = tuple(LAYOUT)) -> PriceTables:
     """``t`` with the tables that ``store_tables`` wrote in place of its own; nothing of those is read."""
     spark = t.price_point.sparkSession
     found = {
-        name: read_keyed(spark, f"{path}/{name}", getattr(t, name).schema, keys, order, buckets)
-        for name, (keys, order) in LAYOUT.items()
+        name: read_keyed(spark, f"{path}/{name}", getattr(t, name).schema, *LAYOUT[name], buckets) for name in names
     }
     return replace(t, **found)

@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from pricetide.functions.regex import any_of
-from pricetide.operators import matching, offers, title_index, watch
+from pricetide.operators import listings, matching, offers, title_index, watch
+from pricetide.operators.listings import ListingQuery
 from pricetide.plans import watch_queries
+from pricetide.plans.views import Bound
 
 
 def plan(df):
@@ -54,3 +56,34 @@ def test_increments_are_many_files(spark):
 def test_a_page_of_a_view_at_hand(rows):
     view = rows([("b", "S", 2.0, True), ("a", "S", 1.0, True)], "game string, platform string, best_price double, best_in_stock boolean")
     assert [r.game for r in offers.games_page(None, view=view).collect()] == ["a", "b"]
+
+
+def _given(spark, path):
+    lines = [(o, 1 + o % 3, 1 + o % 2, 1, 2.0, 100.0 + o, "NR"[o % 2]) for o in range(1, 13)] + [(13, None, 1, 1, 1.0, 5.0, "N"), (14, 7, None, 1, 1.0, 5.0, "N")]
+    given = {
+        "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string")
+        .withColumn("l_shipdate", F.expr("make_timestamp_ntz(2020, 1, CAST(l_orderkey AS INT), 0, 0, 0)")),
+        "part": spark.createDataFrame([(1, "old cup"), (2, "new cup"), (2, "new cup again")], "p_partkey long, p_name string").selectExpr("*", "1 AS p_size", "1e0 AS p_retailprice"),
+        "supplier": spark.createDataFrame([(1, "one", 0), (2, "two", 1), (2, "two", 1)], "s_suppkey long, s_name string, s_nationkey long"),
+        "nation": spark.createDataFrame([(0, 0), (1, 3)], "n_nationkey long, n_regionkey long"),
+        "orders": spark.createDataFrame([], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_totalprice double, o_orderdate timestamp_ntz"),
+        "events": spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"),
+    }
+    for name, df in given.items():
+        df.write.parquet(f"{path}/{name}.parquet")
+    return Bound(spark, str(path))
+
+
+def test_stored_tables_have_the_rows_of_their_views(spark, tmp_path):
+    tables = _given(spark, tmp_path)
+    for name in ("listing", "price_point", "run_store", "store"):
+        kept, view = getattr(tables.stored_tables, name), getattr(tables, name)
+        assert kept.dtypes == view.dtypes and sorted(map(str, kept.collect())) == sorted(map(str, view.collect()))
+
+
+def test_stored_shops_have_a_size(spark, tmp_path):
+    """A page plans its join with shops by it, and moves no listing."""
+    kept = _given(spark, tmp_path).stored_tables
+    assert all("/stored-" in f for f in kept.store.inputFiles())
+    page = listings.listings_page(kept, ListingQuery(sort="title"))
+    assert "Exchange hashpartitioning" not in page._jdf.queryExecution().executedPlan().toString()
