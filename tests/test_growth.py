@@ -1,12 +1,15 @@
 """What grows with the tables is made once, and in many tasks."""
 
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
+from pricetide import session
 from pricetide.functions.regex import any_of
 from pricetide.operators import listings, matching, offers, title_index, watch
 from pricetide.operators.listings import ListingQuery
 from pricetide.plans import watch_queries
 from pricetide.plans.views import Bound
+from pricetide.sources import pages
 
 
 def plan(df):
@@ -87,3 +90,28 @@ def test_stored_shops_have_a_size(spark, tmp_path):
     assert all("/stored-" in f for f in kept.store.inputFiles())
     page = listings.listings_page(kept, ListingQuery(sort="title"))
     assert "Exchange hashpartitioning" not in page._jdf.queryExecution().executedPlan().toString()
+
+
+def test_watched_points_serve_ranking_and_record(spark, tmp_path):
+    session.release()
+    status = watch.watch_status(_given(spark, tmp_path).tables)
+    held = [set(df.columns) for df in session._held]
+    assert held.count(set(watch._POINT)) == 1 and status.count() == 3
+    session.release()
+
+
+def test_an_offer_is_carried_once(rows):
+    made = [(c, 1, i, abroad, p, p < 9, c) for i, (c, abroad, p) in enumerate([("NEW", False, 5.0), (None, True, 3.0), ("USED", False, 4.0), ("NEW", True, 2.0), ("USED", False, 1.0)])]
+    offers_ = rows([("g", "S", *m, "u", "r", "s") for m in made], "game string, platform string, condition string, store_id long, sku long, ships_from_abroad boolean, inr_price double, buyable boolean, c string, url string, region string, store string").drop("c")
+    best = watch.best_by_variant(offers_)
+    assert "least(" in plan(best)
+    got = {(r.watch_condition, r.shops): (r.best.inr_price, r.offers) for r in best.collect()}
+    assert got == {("ANY", "ALL"): (1.0, 5), ("ANY", "INDIA"): (1.0, 3), ("NEW", "ALL"): (2.0, 2), ("NEW", "INDIA"): (5.0, 1)}
+
+
+def test_states_are_handed_over_as_arrow(rows):
+    assert pages._find_state.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    product = '{"title":"%s","price":{"value":%s},"baseUrl":"u","availability":{"intent":"OUT_OF_STOCK"}}'
+    nested = '{"x":[1,[' + product % ("a", 1) + ',null],{"y":' + product % ("b", "2.5") + "}]};"
+    found = pages.embedded_state(rows([("p", 1, nested), ("q", 1, "7"), ("r", 1, "{"), ("s", 1, None)], "page_id string, store_id long, state string"))
+    assert sorted((r.title, r.price, r.in_stock, r.position.i) for r in found.collect()) == [("a", 1.0, False, 0), ("b", 2.5, False, 1)]
