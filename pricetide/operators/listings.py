@@ -123,14 +123,15 @@ def game_semi_join(listing: DataFrame, games: DataFrame) -> DataFrame:
 def priced_listings(t: PriceTables, how: str = "inner") -> DataFrame:
     """Listings with shop, latest and previous point, ``buyable`` and ``change_pct``.
 
-    ``how="left"`` keeps unpriced listings, which are then not buyable.
+    ``how="left"`` keeps unpriced listings, which are then not buyable.  What is known of shops comes last: listings and
+    points have met by then, so where shops are too many to be broadcast, rows are dealt by shop once for all of it.
     """
-    latest = with_change(with_buyable(latest_and_previous(t.recent), t.run_store))
+    latest = with_change(latest_and_previous(t.recent))
     shop = t.store.select("store_id", F.col("name").alias("store"), "ships_from_abroad")
+    described, priced = ([c for c in df.columns if c not in LISTING_KEY] for df in (t.listing, latest.drop("change_pct")))
     return (
-        t.listing.join(shop, "store_id")
-        .join(latest, LISTING_KEY, how)
-        .withColumn("buyable", F.coalesce("buyable", F.lit(False)))
+        with_buyable(t.listing.join(latest, LISTING_KEY, how).join(shop, "store_id"), t.run_store)
+        .select(*LISTING_KEY, *described, "store", "ships_from_abroad", *priced, "buyable", "change_pct")
     )
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,28 +30,26 @@ def best_struct() -> Column:
 
 
 def best_offers(offers: DataFrame) -> DataFrame:
-    """Best offer and offer counts of each product among the given priced listings.
+    """Best offer and offer counts of each product among the given priced listings; of the offer its key, price and stock.
 
-    A partial MIN over a struct, not a ranking: a product with very many
-    offers shrinks to one row per map task.
+    Partial MINs over a struct, not a ranking: first one row per product and
+    shop, of numbers only, then one per product.  A shop that has any offer counts as one.
     """
-    best = F.col("_best")
-    return (
+    rank, best = best_rank(), F.col("_best")
+    choice = F.struct(rank.isNull().alias("unpriced"), rank.alias("rank"), *LISTING_KEY, "inr_price", "buyable")
+    shop = (
         offers.where(F.col("game").isNotNull())
-        .groupBy(*GAME_KEY)
-        .agg(
-            F.min(best_struct()).alias("_best"),
-            F.count(F.lit(1)).alias("offers"),
-            F.count_distinct("store_id").alias("stores"),
-        )
+        .groupBy(*GAME_KEY, "store_id")
+        .agg(F.min(choice).alias("_best"), F.count(F.lit(1)).alias("offers"))
+    )
+    return (
+        shop.groupBy(*GAME_KEY)
+        .agg(F.min("_best").alias("_best"), F.sum("offers").alias("offers"), F.count("store_id").alias("stores"))
         .select(
             *GAME_KEY,
+            *[best[k].alias(k) for k in LISTING_KEY],
             best["inr_price"].alias("best_price"),
             best["buyable"].alias("best_in_stock"),
-            best["url"].alias("best_url"),
-            best["region"].alias("best_region"),
-            best["condition"].alias("best_condition"),
-            best["store"].alias("best_store"),
             "offers",
             "stores",
         )
@@ -55,7 +57,28 @@ def best_offers(offers: DataFrame) -> DataFrame:
 
 
 def games_best_offer(t: PriceTables, query: ListingQuery = ListingQuery()) -> DataFrame:
-    return best_offers(priced_listings(narrowed(t, query)).where(listing_filter(query)))
+    """Best offers as they are shown.  Texts are looked up for the offers that won, so they take no part in choosing."""
+    few = narrowed(t, query)
+    best = best_offers(priced_listings(few).where(listing_filter(query)))
+    shop = t.store.select("store_id", F.col("name").alias("store"), "ships_from_abroad")
+    told = F.struct("url", "region", "condition", "store")
+    # whether a listing is of that product is no key of the join: listings lie by their own key
+    listed = few.listing.where(F.col("game").isNotNull()).withColumnsRenamed({k: f"_{k}" for k in GAME_KEY})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in GAME_KEY])
+    near = ~F.col("ships_from_abroad") if query.domestic_only else F.lit(True)
+    won = ["best_price", "best_in_stock", "offers", "stores"]
+    text = F.col("_text")
+    return (
+        best.join(listed, LISTING_KEY)
+        .join(shop, "store_id")
+        .where(near)
+        .groupBy(*GAME_KEY, *won)
+        .agg(F.min(F.when(same, told)).alias("_text"))
+        .select(
+            *GAME_KEY, "best_price", "best_in_stock", *[text[c].alias(f"best_{c}") for c in ("url", "region", "condition", "store")],
+            "offers", "stores",
+        )
+    )
 
 
 def display_title(listing: DataFrame) -> DataFrame:
@@ -114,11 +137,11 @@ def price_note() -> tuple[Column, Column]:
     return note.alias("note"), F.when(~F.col("at_lowest") & cheaper_once, F.col("lowest_ever")).alias("shown")
 
 
-def games_view(t: PriceTables, query: ListingQuery = ListingQuery()) -> DataFrame:
-    """Every product a query selects, with title, best offer and price record."""
+def games_view(t: PriceTables, query: ListingQuery = ListingQuery(), listing: DataFrame | None = None) -> DataFrame:
+    """Every product a query selects, with title, best offer and price record; titles of ``listing``, where the one of ``t`` is dealt for joins."""
     return (
         games_best_offer(t, query)
-        .join(display_title(t.listing), GAME_KEY, "left")
+        .join(display_title(t.listing if listing is None else listing), GAME_KEY, "left")
         .join(lowest_ever(t, query.condition, query.domestic_only), GAME_KEY, "left")
         .withColumn("runs_seen", F.coalesce("runs_seen", F.lit(0)))
         .withColumn("at_lowest", at_lowest())

@@ -330,10 +330,15 @@ GAME_PAGES = {
 }
 
 
+def _games(b, q: ListingQuery):
+    """The products of a query; listings meet their points where they lie, titles need none of that."""
+    return offers.games_view(b.dealt_tables, q, b.listing)
+
+
 def _register_game_pages() -> None:
     for name, (q, order, limit, offset) in GAME_PAGES.items():
         sql = f"SELECT {_GAME} FROM {{game_view}} ORDER BY {order}, game, platform LIMIT {limit} OFFSET {offset}"
-        query(f"games_page{name}", sql)(lambda b, q=q: offers.games_page(b.tables, q))
+        query(f"games_page{name}", sql)(lambda b, q=q: offers.games_page(b.tables, q, _games(b, q)))
 
 
 _register_game_pages()
@@ -362,7 +367,7 @@ LIMIT 90 OFFSET 40""")
 def games_page_after(b):
     """The page after the one before it, both of one held view."""
     q = ListingQuery(direction="desc", limit=40)
-    view = hold(offers.games_view(b.tables, q))
+    view = hold(_games(b, q))
     seen = offers.games_page(b.tables, q, view).select(cursor_of(offers.games_order(q)).alias("c")).tail(1)
     return offers.games_page(b.tables, replace(q, limit=90, after=tuple(seen[0].c) if seen else None), view)
 
