@@ -177,13 +177,21 @@ def listings_cursor(query: ListingQuery, row: Row) -> tuple:
 
 
 def listings_page(t: PriceTables, query: ListingQuery = ListingQuery()) -> DataFrame:
-    """One page of listings in the requested order; after a cursor, or after an offset."""
+    """One page of listings in the requested order; after a cursor, or after an offset.
+
+    Which listings are on it is found by keys and sort keys; all else is then read of those only, which are few
+    enough to know before anything runs.
+    """
     limit, offset = query.page
+    order = listings_order(query)
+    keys = page(matching_listings(t, query), order, limit + offset, 0, query.after).select(*LISTING_KEY)
+    listing, points = (rows.join(keys, LISTING_KEY, "left_semi") for rows in (t.listing, t.recent))
     columns = (
         *LISTING_KEY, "raw_title", "url", "region", "platform", "condition", "store", "inr_price",
         "native_price", "native_currency", F.col("buyable").alias("in_stock"), "captured_at", "change_pct",
     )
-    return page(matching_listings(t, query), listings_order(query), limit, offset, query.after).select(*columns)
+    few = t.with_(listing=listing, latest=points)
+    return page(matching_listings(few, query), order, limit, offset, query.after).select(*columns)
 
 
 def game_offers(t: PriceTables, game: str | Column, platform: str, query: ListingQuery = ListingQuery()) -> DataFrame:

@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pricetide.operators import listings, offers
+from pricetide.operators import listings, offers, watch
 from pricetide.operators.listings import ListingQuery
-from pricetide.tables import PriceTables
+from pricetide.session import release
+from pricetide.tables import LISTING_KEY, PriceTables
 
 
 def taken(df):
@@ -49,3 +50,34 @@ def test_texts_are_looked_up_for_the_offers_that_won(shop):
     assert not taken(chosen) and taken(best)
     near = offers.games_best_offer(shop, ListingQuery(domestic_only=True, in_stock_only=True)).collect()
     assert sorted(r.game for r in near) == ["g", "h"]
+
+
+def test_a_page_reads_the_rest_of_its_listings_only(shop):
+    """Also where a key has several listings and several shops, after an offset and after a cursor."""
+    q = ListingQuery(sort="title", direction="desc", limit=3)
+    every = listings.matching_listings(shop, q).orderBy(F.desc("raw_title"), *LISTING_KEY).select("raw_title", *LISTING_KEY).collect()
+    assert len(every) == 8
+    page = listings.listings_page(shop, q)
+    assert page._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
+    for offset in (0, 2, 7, 9):
+        got = listings.listings_page(shop, ListingQuery(sort="title", direction="desc", limit=3, offset=offset))
+        assert got.select("raw_title", *LISTING_KEY).collect() == every[offset : offset + 3]
+    after = ListingQuery(sort="title", direction="desc", limit=9, after=tuple(every[3]))
+    place, keys = every[3], lambda r: (r.store_id, r.sku)
+    beyond = [r for r in every if r.raw_title < place.raw_title or (r.raw_title == place.raw_title and keys(r) > keys(place))]
+    assert beyond and listings.listings_page(shop, after).select("raw_title", *LISTING_KEY).collect() == beyond
+
+
+def test_texts_are_looked_up_for_the_watched_offers_that_won(shop, rows):
+    release()
+    wanted = [("g", "S", 11.0, c, s) for c in ("ANY", "NEW") for s in ("ALL", "INDIA")] + [("h", "S", 12.0, "NEW", "INDIA")]
+    t = shop.with_(watchlist=rows(wanted, "game string, platform string, target double, condition string, shops string"))
+    assert not taken(watch.best_by_variant(listings.priced_listings(t)))
+    got = {(r.game, r.condition, r.shops): (r.best_url, r.best_region, r.best_store, r.best_price, r.offers, r.hit, r.title) for r in watch.watch_status(t, titled=t.listing).collect()}
+    one = ("u1", "IN", "One", 12.0)
+    assert got == {
+        ("g", "ANY", "ALL"): (*one, 4, False, "Game One"), ("g", "ANY", "INDIA"): (*one, 2, False, "Game One"),
+        ("g", "NEW", "ALL"): (*one, 2, False, "Game One"), ("g", "NEW", "INDIA"): (*one, 2, False, "Game One"),
+        ("h", "NEW", "INDIA"): ("u0", "IN", "One", 12.0, 1, True, "Other"),
+    }
+    release()
