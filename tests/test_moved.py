@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from pricetide.operators import listings, offers, watch
 from pricetide.operators.listings import ListingQuery
+from pricetide.plans import source_queries
 from pricetide.session import release
 from pricetide.tables import LISTING_KEY, PriceTables
+from test_growth import _given
 
 
 def taken(df):
@@ -81,3 +83,15 @@ def test_texts_are_looked_up_for_the_watched_offers_that_won(shop, rows):
         ("h", "NEW", "INDIA"): ("u0", "IN", "One", 12.0, 1, True, "Other"),
     }
     release()
+
+
+def test_pages_are_put_together_where_their_products_lie(spark, tmp_path):
+    tables = _given(spark, tmp_path)
+    spark.createDataFrame([(1, "u", "<html/>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    paged = tables.dealt(source_queries._PAGE_ID)
+    for view in ("listing", "page_product"):
+        assert sorted(map(str, getattr(paged, view).collect())) == sorted(map(str, getattr(tables, view).collect()))
+    made, cards = source_queries._pages(paged), source_queries._cards(paged)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(page_id") == 0
+    assert cards._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(concat") == 1
+    assert sorted(map(str, made.collect())) == sorted(map(str, source_queries._pages(tables).collect()))
