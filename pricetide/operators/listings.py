@@ -184,8 +184,8 @@ def listings_page(t: PriceTables, query: ListingQuery = ListingQuery()) -> DataF
     """
     limit, offset = query.page
     order = listings_order(query)
-    keys = page(matching_listings(t, query), order, limit + offset, 0, query.after).select(*LISTING_KEY)
-    listing, points = (rows.join(keys, LISTING_KEY, "left_semi") for rows in (t.listing, t.recent))
+    keys = page(matching_listings(t, query), order, limit + offset, 0, query.after).select(*LISTING_KEY).distinct()
+    listing, points = t.listing.join(keys, LISTING_KEY), t.recent.join(keys, LISTING_KEY, "left_semi")
     columns = (
         *LISTING_KEY, "raw_title", "url", "region", "platform", "condition", "store", "inr_price",
         "native_price", "native_currency", F.col("buyable").alias("in_stock"), "captured_at", "change_pct",
